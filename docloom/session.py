@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -44,3 +45,13 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and return it without its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def clustered(df: DataFrame, *keys: str) -> DataFrame:
+    """df with equal keys side by side in one partition, for a map function that reads whole groups in a stream.
+
+    Partitioned and sorted by a hash of the keys, not by the keys: an order that a join below already promises would be
+    dropped from the plan, and lost when the join is planned anew at run time. Adds the column _g.
+    """
+    g = df.withColumn("_g", F.xxhash64(*keys))
+    return g.repartition("_g").sortWithinPartitions("_g", *keys)
