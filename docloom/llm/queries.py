@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import neardup
+from docloom.llm import boilerplate, distinctive, leaks, lines, neardup, terms
 from docloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,5 +21,52 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "crawl_docs"))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(table(spark, sf_dir, n) for n in ("postings", "index_docs", "search_index"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_marks(*_index(spark, sf_dir)).filter("mark IN ('rare', 'common')").select("term", "mark")
+
+
+def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_marks(*_index(spark, sf_dir))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.top_term(distinctive.distinctive_terms(*_index(spark, sf_dir)))
+
+
+def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return distinctive.distinctive_terms(*_index(spark, sf_dir)).withColumns({c: F.round(c, 4) + 0.0 for c in ("llr", "weight")})
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, sf_dir, "crawl_docs")).select("id", "ord")
+
+
+def p6_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.strip_lines(table(spark, sf_dir, "crawl_docs"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.boilerplate_ords(table(spark, sf_dir, "crawl_docs"))
+
+
+def p7_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_content(table(spark, sf_dir, "crawl_docs"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.filter("edits = 0").select("doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count_if(F.col("edits") == 0).alias("exact_docs"), F.count(F.lit(1)).alias("docs"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    own = (p1_found, p1_groups, p3_found, p3_terms, p4_found, p4_scores, p6_found, p6_stripped, p7_found, p7_content, p8_found, p8_items)
+    return {f.__name__: f for f in own}
