@@ -35,15 +35,21 @@ STOP_WORDS = frozenset(
 )
 # Wording of consent notices, navigation, legal, share, feedback and byline lines.
 FURNITURE = re.compile(
-    r"""cookies?\ (?:to|so)\ |cookie\ (?:policy|settings:)|cookies?\ (?:afin|para|are\ always)|verwendet\ cookies|optional\ cookies|datenschutz-einstellungen
-    |consent\ required|withdraw\ consent|your\ privacy\ matters|choix\ de\ confidentialité|we\ and\ our\ partners|data\ protection\ rules|marker\ in\ your\ browser
-    |stores\ small\ files|you\ accept\ that\ we|only\ keep\ what\ is\ needed|tracking\ choices|manage\ preferences|accept\ all
-    |all\ rights\ reserved|tous\ droits\ réservés|alle\ rechte\ vorbehalten|todos\ los\ derechos|^\s*©|^copyright\ [\d(©]|trademark\ of\ its|without\ any\ warranty\ by|may\ be\ reused\ under
+    r"""(?:we|(?:web)?site)\ uses?\ cookies|use\ cookies\ to|cookie\ (?:policy|settings:)|cookies\ (?:afin|para\ (?:recordar|medir|mejorar))|verwendet\ cookies|optional\ cookies
+    |datenschutz-einstellungen|consent\ required|withdraw\ consent|your\ privacy\ matters|choix\ de\ confidentialité|we\ and\ our\ partners|data\ protection\ rules|marker\ in\ your\ browser
+    |stores\ small\ files|you\ accept\ that\ we|only\ keep\ what\ is\ needed|tracking\ choices|manage\ preferences|accept\ all\ (?:/|$)
+    |all\ rights\ reserved|tous\ droits\ réservés|alle\ rechte\ vorbehalten|todos\ los\ derechos\ reservados|^\s*©|^copyright\ [\d(©]|trademark\ of\ its|without\ any\ warranty\ by|may\ be\ reused\ under
     |views\ in\ this\ article|last\ change\ to\ this\ text|^reading\ time\ \d|gehört\ zur\ reihe|^tell\ your\ team|pass\ the\ link\ on|^printed\ from\ the
-    |readers\ who\ discuss|^comparta\ esta|^partagez|^teilen|was\ this\ page|page\ helpful|volunteer\ work|your\ favourite\ network|^back\ to\ (?:top|the\ start)|^log\ in\ to\ vote
-    |^subscribe\ to\ the|^sponsored:|^need\ help\?|documentation\ group,|old\ version\.\ switch|^rate\ this|^built\ with\ the|^select\ version|^language:
-    |^edit\ this\ page|^terms\ of\ use|^sitemap\b|^skip\ to\ content|^share\b.{0,30}\bprint|^status\b.{0,30}\bcareers|^previous:.*next:|^(?:zurück|précédent|anterior):|^updated\ on|^posted\ by|^written\ (?:and\ reviewed\ )?by""",
-    re.IGNORECASE | re.VERBOSE | re.DOTALL,
+    |readers\ who\ discuss|^comparta\ esta|^partagez\ cet|was\ this\ page|page\ helpful|volunteer\ work|your\ favourite\ network|^back\ to\ (?:top|the\ start)|^log\ in\ to\ vote
+    |^subscribe\ to\ the\ .{1,80}newsletter|^sponsored:|^need\ help\?|documentation\ group,|old\ version\.\ switch|^rate\ this|^built\ with\ the|^select\ version|^language:|^found\ a\ typo
+    |^edit\ this\ page|^terms\ of\ use|^sitemap\b|^skip\ to\ content|^share\b.{1,5}\bprint\b|^status\b.{1,5}\bcareers|^previous:.*next:|^next\ up:|^«.*»$|^comments\ are\ closed|^updated\ on\ \d|^posted\ by|^written\ and\ reviewed\ by""",
+    re.VERBOSE | re.DOTALL,
+)
+# A block without any of these words has no such wording.
+TRIGGERS = frozenset(
+    """cookie cookies datenschutz consent privacy confidentialité partners protection marker stores accept needed tracking preferences rights droits rechte derechos copyright trademark
+    warranty reused views change reading reihe tell pass printed readers comparta partagez helpful volunteer favourite back log subscribe sponsored help documentation old rate built select
+    language found edit terms sitemap skip share status previous next updated posted reviewed comments""".split()
 )
 # Headings of sidebars.
 SIDEBAR = re.compile(
@@ -52,22 +58,33 @@ SIDEBAR = re.compile(
 )
 # Messages that stand in place of content, which count as the page's own content.
 MESSAGE = re.compile(
-    r"javascript|scripts? (?:are|and)|scripting|not found|nicht gefunden|introuvable|no encontrada|does not exist|went wrong|server error|unavailable|session has timed|permission to view|rate limited|verifying that you|scheduled maintenance|upstream connect|lorem|ipsum|\{\{|\$\{|<%|%%|@@|\[\[|\{%|todo:",
+    r"javascript|scripts? (?:are|and)|scripting|not found|nicht gefunden|introuvable|no encontrada|does not exist|went wrong|server error|unavailable|session has timed|permission to view|rate limited|verifying that you|scheduled maintenance|upstream connect|lorem|ipsum|coming soon|goes here|replace me|dummy copy|steht bald|didn.t work|try again|\{\{|\$\{|<%|%%|@@|\[\[|\{%|todo:",
     re.IGNORECASE,
 )
-_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+")
 _PARTS = re.compile(r"\s*(?:[|·•»›→/>]|\s[—–-]\s)\s*")
+_ENDS = (".", "!", "?", ":", ";")
 
 
-def link_chars(blocks: list) -> int:
-    """Characters of linked spans in the blocks and all below them."""
+def _scan(blocks: list, lines: list[str]) -> int:
+    """Characters of linked spans in the blocks and all below them; their texts are added to lines."""
     n = 0
     for b in blocks:
-        if isinstance(b, dict):
-            n += sum(len(s.get("t") or "") for s in b.get("spans") or () if isinstance(s, dict) and s.get("h"))
-            for below in [*(b.get("items") or ()), b.get("children")]:
-                if below:
-                    n += link_chars(below)
+        if not isinstance(b, dict):
+            continue
+        if spans := b.get("spans"):
+            texts = [(x.get("t") or "", x.get("h")) for x in spans if isinstance(x, dict)]
+            lines.append("".join([t for t, _ in texts]))
+            n += sum([len(t) for t, h in texts if h])
+        if isinstance(b.get("text"), str):
+            lines.append(b["text"])
+        for row in b.get("rows") or ():
+            lines += [c for c in row or () if isinstance(c, str)]
+        for below in b.get("items") or ():
+            if below:
+                n += _scan(below, lines)
+        if b.get("children"):
+            n += _scan(b["children"], lines)
     return n
 
 
@@ -76,43 +93,49 @@ def decide(b: dict, site: str, own_headings: set[str]) -> bool | None:
     kind = b.get("type")
     if kind in ("code", "table"):
         return False
-    text = page_text([b])
-    found = _WORD.findall(text)
-    n = len(found)
-    flat = " ".join(text.split())
+    lines: list[str] = []
+    linked = _scan([b], lines)
+    low = "\n".join(lines).lower()
     if kind == "heading":
-        return True if SIDEBAR.match(flat) else None
+        return True if SIDEBAR.match(" ".join(low.split())) else None
+    found = _WORD.findall(low)
+    n = len(found)
     if not n:
-        return True if flat else None
-    if MESSAGE.search(flat) and not FURNITURE.search(flat):
+        return True if low.strip() else None
+    stops = sum(map(STOP_WORDS.__contains__, found)) / n
+    linked /= max(1, len(low))
+    named = n <= SITE_LINE and bool(site) and site in " ".join(found)
+    flat = " ".join(low.split())
+    ended = flat.endswith(_ENDS)
+    if n >= LONG and stops >= STOPS_HIGH and linked <= LINKS_LOW and (ended or kind != "paragraph" and len(lines) > 1 and any(x.rstrip().endswith(_ENDS) for x in lines)) and not named and "©" not in low and TRIGGERS.isdisjoint(found):
+        return False
+    wording = FURNITURE.search(flat) is not None
+    if not wording and MESSAGE.search(flat):
         return False
-    low = flat.lower()
-    if kind == "paragraph":
-        if FURNITURE.search(flat) or (n <= SITE_LINE and site and site in low):
+    lines = [x for x in lines if x.strip()]
+    if kind == "paragraph" or len(lines) == 1:
+        if wording or named:
             return True
-        parts = [p for p in _PARTS.split(flat) if p]
-        if len(parts) >= 3 and max(len(p.split()) for p in parts) <= 8 and sum(len(p.split()) for p in parts) <= 4 * len(parts) and not flat.endswith((".", "!", "?")):
+        parts = [len(p.split()) for p in _PARTS.split(flat) if p]
+        if len(parts) >= 3 and max(parts) <= 8 and sum(parts) <= 4 * len(parts) and not ended:
             return True
-    stops = sum(w.lower() in STOP_WORDS for w in found) / n
-    linked = link_chars([b]) / max(1, sum(map(len, found)) + n)
     if kind == "list":
-        items = [" ".join(page_text(i).split()) for i in b.get("items") or () if isinstance(i, list)]
-        items = [i for i in items if i]
-        if items and sum(i.lower() in own_headings for i in items) * 2 >= len(items):
+        items = [x for x in (" ".join(page_text(i).split()).lower() for i in b.get("items") or () if isinstance(i, list)) if x]
+        if items and sum(i in own_headings for i in items) * 2 >= len(items):
             return True
-        short = sum(len(i.split()) for i in items) <= 7 * len(items)
-        if linked >= LINKS_HIGH and short:
-            return True
-        if items and short and not any(i.endswith((".", "!", "?", ":", ";")) for i in items):
-            return True if linked >= 0.15 or stops < STOPS_LOW else None
+        short = sum(len(i.split()) for i in items) <= 8 * len(items)
+        if items and short and (linked >= LINKS_HIGH or not any(i.endswith(_ENDS) for i in items)):
+            return True if linked >= 0.1 or stops < STOPS_LOW or len(items) > 1 else None
         return False if stops >= STOPS_LOW else None
     if linked >= LINKS_HIGH and n <= 25:
         return True
-    if n >= LONG and stops >= STOPS_HIGH and linked <= LINKS_LOW:
+    if n >= LONG and stops >= STOPS_HIGH and linked <= LINKS_LOW and ended:
         return False
-    if kind == "paragraph" and n >= 3 and stops < STOPS_LOW and not flat.endswith((".", "!", "?", ":", ";")) and sum(w[:1].isupper() for w in found) * 2 >= n:
-        return True
-    if n >= 5 and flat.endswith((".", "!", "?")) and stops > 0:
+    if kind == "paragraph" and n >= 3 and stops < STOPS_LOW and not ended:
+        shown = _WORD.findall(" ".join(lines))
+        if sum(w[:1].isupper() for w in shown) * 2 >= n:
+            return True
+    if n >= 5 and ended and (stops > 0 or n >= LONG):
         return False
     return None
 
@@ -140,6 +163,8 @@ def label_page(blocks: list, site: str, headings: list[str]) -> list[bool]:
             out.append(first[k])
         elif kinds[k] == "heading":  # a heading goes with a list it heads; a line of furniture ends a section, it doesn't make one
             out.append(k + 1 < n and kinds[k + 1] == "list" and first[k + 1] is True)
+        elif kinds[k] == "list" and k and kinds[k - 1] == "heading" and first[k - 1]:  # what a sidebar's heading heads
+            out.append(True)
         else:
             x, y = before[k], after[k]
             if x is None or y is None:
