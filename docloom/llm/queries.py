@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import boilerplate, distinctive, leaks, lines, neardup, terms
+from docloom.llm import boilerplate, distinctive, leaks, lines, neardup, residue, terms
 from docloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return tuple(table(spark, sf_dir, n) for n in ("postings", "index_docs", "search_index"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "crawl_docs"), table(spark, sf_dir, "index_docs"))
+
+
+def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue_scores(table(spark, sf_dir, "crawl_docs"), table(spark, sf_dir, "index_docs")).withColumn("score", F.round("score", 4))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.term_marks(*_index(spark, sf_dir)).filter("mark IN ('rare', 'common')").select("term", "mark")
 
@@ -68,5 +76,5 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_groups, p3_found, p3_terms, p4_found, p4_scores, p6_found, p6_stripped, p7_found, p7_content, p8_found, p8_items)
+    own = (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_terms, p4_found, p4_scores, p6_found, p6_stripped, p7_found, p7_content, p8_found, p8_items)
     return {f.__name__: f for f in own}

@@ -87,3 +87,44 @@ def chunks(sizes: list[int], most: int = 400_000) -> list[slice]:
     if at < len(sizes):
         out.append(slice(at, len(sizes)))
     return out
+
+
+#: Kinds of a run: lower-case word, word with a capital first letter, number, punctuation, end of a text.
+LOWER, CAPITAL, NUMBER, PUNCTUATION, END = 1, 2, 3, 4, 5
+_kinds: np.ndarray | None = None
+
+
+def _kind_of(c: int) -> int:
+    x = chr(c)
+    if x.isalnum():
+        return NUMBER if x.isnumeric() else CAPITAL if x.isupper() else LOWER
+    return 0 if x.isspace() else PUNCTUATION
+
+
+def runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, kind, text number) of every run of letters and digits or of punctuation, and of an END after each text.
+
+    Hashes are of the lower case. Line feeds inside texts count as spaces; code points above the first plane as
+    punctuation.
+    """
+    global _kinds
+    if _kinds is None:
+        _kinds = np.array([_kind_of(c if not 0xD800 <= c < 0xE000 else 0) for c in range(_PLANE)], np.int8)
+    joined = "\n".join([t.replace("\n", " ") for t in texts]) + "\n"
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    code = np.where(code < _PLANE, code, 0x2603)
+    kind, value = _kinds[code], _base()[1][code]
+    ends = code == 10
+    group = np.where((kind > 0) & (kind < PUNCTUATION), 1, np.where(kind == PUNCTUATION, 2, 0)).astype(np.int8)
+    group[ends] = 3
+    change = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | ends[1:]])
+    stop = np.r_[change[1:], len(code)]
+    real = group[change] > 0
+    start, stop = change[real], stop[real]
+    up, down = _power(len(code))
+    total = np.cumsum(value * up[: len(code)])
+    before = np.where(start > 0, total[start - 1], np.uint64(0))
+    h = mix((total[stop - 1] - before) * down[start] + (stop - start).astype(np.uint64))
+    k = np.where(ends[start], END, kind[start]).astype(np.int8)
+    text_end = np.flatnonzero(ends)
+    return h, k, np.searchsorted(text_end, start, "left")
