@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import boilerplate, distinctive, leaks, lines, neardup, residue, terms
+from docloom.llm import abuse, boilerplate, distinctive, leaks, lines, mixing, neardup, residue, terms
 from docloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,32 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count_if(F.col("edits") == 0).alias("exact_docs"), F.count(F.lit(1)).alias("docs"))
 
 
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).withColumn("rate", F.round("rate", 4))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    reached = mixing.shares(mixing.mixture(table(spark, sf_dir, "documents"), targets), targets)
+    return reached.withColumns({c: F.round(c, 4) for c in ("target_share", "reached_share")})
+
+
+def p9_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of a mixture as large as the corpus, where small sources are used to their cap."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    size = mixing.texts_with_tokens(docs, targets).agg(F.sum("tokens").alias("t")).first()["t"]
+    reached = mixing.shares(mixing.mixture(docs, targets, total_tokens=float(size or 0)), targets)
+    return reached.withColumns({c: F.round(c, 4) for c in ("target_share", "reached_share")})
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abusive(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.abuse_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels")).withColumn("rate", F.round("rate", 6))
+
+
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_terms, p4_found, p4_scores, p6_found, p6_stripped, p7_found, p7_content, p8_found, p8_items)
+    own = (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_terms, p4_found, p4_scores, p6_found, p6_stripped, p7_found, p7_content, p8_found, p8_items, p9_mixture, p9_shares, p9_shares_whole, p10_found, p10_rates)
     return {f.__name__: f for f in own}
