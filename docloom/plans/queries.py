@@ -5,9 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.operators import nested
+from docloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.nested_places(table(spark, sf_dir, "crawl_docs"))
+
+
+def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.block_rows(table(spark, sf_dir, "crawl_docs"), ["type", "level", "anchor", "text", "lang", "ordered", "header"])
+
+
+def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.span_rows(nested.block_rows(table(spark, sf_dir, "crawl_docs"), ["spans"]))
+
+
+def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.cell_rows(nested.block_rows(table(spark, sf_dir, "crawl_docs"), ["rows"]))
+
+
 def queries() -> dict[str, Query]:
-    return {}
+    own = (p5_found, p5_blocks, p5_spans, p5_cells)
+    return {f.__name__: f for f in own}
