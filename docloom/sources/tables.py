@@ -69,3 +69,16 @@ def indexed(index_docs: DataFrame) -> DataFrame:
         .agg(F.max(F.struct(*cols)).alias("_r"))
         .select("idx", *[F.col(f"_r.{c}").alias(c) for c in cols])
     )
+
+
+def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """At most ``most`` rows, those with the smallest hashes of their keys, whatever the number of rows and partitions.
+
+    Rows are first thinned by their hash to about twice as many, so that no partition sends more than its share.
+    """
+    n = df.count()
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    kept = df.withColumn("_h", h)
+    if n > 2 * most:
+        kept = kept.filter(F.col("_h") < int((1 << 40) * 2 * most / n))
+    return kept.orderBy("_h", *keys).limit(most).drop("_h")
