@@ -93,7 +93,7 @@ def relative_time(then: Column | str, now: Column | str) -> Column:
 
 def flag_list(text: Column | str) -> Column:
     """The parts of a comma-separated list, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(col(text), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(col(text), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def display_url(url: Column | str) -> Column:

@@ -42,7 +42,11 @@ def field_texts(docs: DataFrame) -> DataFrame:
         F.when(kind == "paragraph", own).when(kind == "code", F.coalesce("text", F.lit(""))).when(kind == "table", cells).alias("b"),
         F.when(kind == "paragraph", own).alias("p"),
     )
-    joined = rows.groupBy("id").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", c)))), lambda x, c=c: x[c]), " ").alias(n) for c, n in (("h", "headings"), ("b", "body"), ("p", "plain"))])
+
+    def in_order(c: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", c)))), lambda x: x[c]), " ")
+
+    joined = rows.groupBy("id").agg(in_order("h").alias("headings"), in_order("b").alias("body"), in_order("p").alias("plain"))
     current = latest(docs.select("id", "indexed_at", "arrived_at"), []).select("id")
     return current.join(joined, "id", "left").na.fill("", ["headings", "body", "plain"])
 
@@ -60,7 +64,11 @@ def weighted_postings(docs: DataFrame, fields: dict[str, int], key: str = "doc")
     Stop words and over-long tokens aren't indexed; null texts have no terms. Counted per document before the shuffle by
     (key, term), so a common term is no hot key.
     """
-    parts = F.flatten(F.array(*[F.transform(F.coalesce(text.index_tokens(c), F.array().cast("array<string>")), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in fields.items()]))
+
+    def weighted(column: str, w: int) -> Column:
+        return F.transform(F.coalesce(text.index_tokens(column), F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    parts = F.flatten(F.array(*[weighted(c, w) for c, w in fields.items()]))
     return docs.filter(F.col(key).isNotNull()).select(key, F.explode(parts).alias("p")).groupBy(key, F.col("p.term").alias("term")).agg(F.sum("p.w").cast("long").alias("tf"))
 
 
@@ -113,7 +121,7 @@ def posting_lists(postings: DataFrame, idx: str = "idx") -> DataFrame:
 
 def long_postings(lists: DataFrame) -> DataFrame:
     """(term, idx, tf) from flat posting lists."""
-    at = F.sequence(F.lit(0), F.size("list") / 2 - 1).cast("array<int>")
+    at = F.sequence(F.lit(0), (F.size("list") / 2).cast("int") - 1)
     pairs = F.when(F.size("list") > 0, F.transform(at, lambda k: F.struct(F.element_at("list", k * 2 + 1).alias("idx"), F.element_at("list", k * 2 + 2).alias("tf"))))
     return lists.select("term", F.explode(pairs).alias("p")).select("term", "p.idx", "p.tf")
 

@@ -20,7 +20,7 @@ def latest(df: DataFrame, payload: list[str], key: str = "id") -> DataFrame:
     """
     payload = [c for c in payload if c != key]
     order = F.struct("indexed_at", "arrived_at", F.xxhash64(*payload).alias("h")) if payload else F.struct("indexed_at", "arrived_at")
-    body = F.struct(*payload, "indexed_at") if payload else F.struct("indexed_at")
+    body = F.struct(*dict.fromkeys([*payload, "indexed_at"]))
     return (
         df.filter(F.col(key).isNotNull())
         .groupBy(key)
