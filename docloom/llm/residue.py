@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from docloom.functions.blocks import parse_blocks, spans_text, walk
 from docloom.llm.boilerplate import STOP_WORDS
 from docloom.llm.vectext import END, PUNCTUATION, chunks, mix, runs
-from docloom.sources.tables import latest
+from docloom.sources.tables import bounded_sample, latest
 
 #: Pages and units of them that the classifier is fitted on, at most.
 SAMPLE_PAGES, SAMPLE_UNITS = 3000, 40_000
@@ -236,7 +236,8 @@ def train(pages: list[tuple[str | None, str | None]]) -> np.ndarray:
 
 def sample_pages(docs: DataFrame, most: int = SAMPLE_PAGES) -> list[tuple[str | None, str | None, str | None]]:
     """At most ``most`` pages (title, blocks, source), those with the smallest hashes of their ids."""
-    return [tuple(r)[:3] for r in docs.filter("id IS NOT NULL").select("title", "blocks", "source_id", F.xxhash64("id", "indexed_at").alias("h")).orderBy("h").limit(most).collect()]
+    rows = bounded_sample(docs.filter("id IS NOT NULL").select("id", "indexed_at", "title", "blocks", "source_id"), ["id", "indexed_at"], most)
+    return [(r["title"], r["blocks"], r["source_id"]) for r in rows.collect()]
 
 
 def validate(docs: DataFrame) -> dict[str, float]:
