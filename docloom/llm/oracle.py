@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from docloom.plans.oracle import CURRENT, NODES
+
 #: Valid postings, documents and stop words in force, as common table expressions.
 _BASE = """
 docs AS (SELECT DISTINCT idx, id, length FROM index_docs WHERE idx IS NOT NULL),
@@ -32,6 +34,12 @@ scored AS (SELECT idx, id, term, tf, docs, total, length, CASE WHEN above THEN g
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p6_found": f"""WITH RECURSIVE {CURRENT}, {NODES},
+para AS (SELECT id, ord, lower(trim(regexp_replace(regexp_replace(array_to_string([coalesce(json_extract_string(b, '$.spans[' || k || '].t'), '') FOR k IN range(CAST(coalesce(json_array_length(b, '$.spans'), 0) AS BIGINT))], ''), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g'))) AS line FROM ords WHERE json_extract_string(b, '$.type') = 'paragraph'),
+long AS (SELECT p.id, ord, source_id, line FROM para p JOIN cur USING (id) WHERE len(string_split(line, ' ')) >= 4),
+total AS (SELECT source_id, count(*) AS n FROM cur GROUP BY source_id),
+often AS (SELECT source_id, line FROM long JOIN total USING (source_id) GROUP BY source_id, line, n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.1 * n)
+SELECT id, ord FROM long JOIN often USING (source_id, line)""",
         "p3_terms": _MARKS,
         "p3_found": f"SELECT term, mark FROM ({_MARKS}) WHERE mark IN ('rare', 'common')",
         "p4_found": f"""{_SCORES}, ranked AS (SELECT id, term, row_number() OVER (PARTITION BY idx ORDER BY weight DESC, term) AS r FROM scored WHERE NOT stop AND docs >= 2)

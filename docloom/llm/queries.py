@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import abuse, boilerplate, distinctive, leaks, lines, mixing, neardup, residue, terms
-from docloom.sources.tables import table
+from docloom.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.found_pairs(neardup.near_duplicates(table(spark, sf_dir, "crawl_docs")))
+    return neardup.found_pairs(neardup.near_duplicates(spread(table(spark, sf_dir, "crawl_docs"))))
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "crawl_docs"))
+    return neardup.near_duplicates(spread(table(spark, sf_dir, "crawl_docs")))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -26,11 +26,11 @@ def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.residue(table(spark, sf_dir, "crawl_docs"), table(spark, sf_dir, "index_docs"))
+    return residue.residue(spread(table(spark, sf_dir, "crawl_docs")), table(spark, sf_dir, "index_docs"))
 
 
 def p2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residue.residue_scores(table(spark, sf_dir, "crawl_docs"), table(spark, sf_dir, "index_docs")).withColumn("score", F.round("score", 4))
+    return residue.residue_scores(spread(table(spark, sf_dir, "crawl_docs")), table(spark, sf_dir, "index_docs")).withColumn("score", F.round("score", 4))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,55 +50,55 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeated_lines(table(spark, sf_dir, "crawl_docs")).select("id", "ord")
+    return lines.repeated_lines(spread(table(spark, sf_dir, "crawl_docs"))).select("id", "ord")
 
 
 def p6_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.strip_lines(table(spark, sf_dir, "crawl_docs"))
+    return lines.strip_lines(spread(table(spark, sf_dir, "crawl_docs")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.boilerplate_ords(table(spark, sf_dir, "crawl_docs"))
+    return boilerplate.boilerplate_ords(spread(table(spark, sf_dir, "crawl_docs")))
 
 
 def p7_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boilerplate.main_content(table(spark, sf_dir, "crawl_docs"))
+    return boilerplate.main_content(spread(table(spark, sf_dir, "crawl_docs")))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leaks.leaked(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"))
     return found.filter("edits = 0").select("doc_id", "item_id")
 
 
 def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    found = leaks.leaked(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "eval_items"))
     return found.groupBy("item_id").agg(F.count_if(F.col("edits") == 0).alias("exact_docs"), F.count(F.lit(1)).alias("docs"))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).withColumn("rate", F.round("rate", 4))
+    return mixing.mixture(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")).withColumn("rate", F.round("rate", 4))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
-    reached = mixing.shares(mixing.mixture(table(spark, sf_dir, "documents"), targets), targets)
+    reached = mixing.shares(mixing.mixture(spread(table(spark, sf_dir, "documents")), targets), targets)
     return reached.withColumns({c: F.round(c, 4) for c in ("target_share", "reached_share")})
 
 
 def p9_shares_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares of a mixture as large as the corpus, where small sources are used to their cap."""
-    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    docs, targets = spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "mix_targets")
     size = mixing.texts_with_tokens(docs, targets).agg(F.sum("tokens").alias("t")).first()["t"]
     reached = mixing.shares(mixing.mixture(docs, targets, total_tokens=float(size or 0)), targets)
     return reached.withColumns({c: F.round(c, 4) for c in ("target_share", "reached_share")})
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.abusive(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+    return abuse.abusive(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "review_labels"))
 
 
 def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return abuse.abuse_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels")).withColumn("rate", F.round("rate", 6))
+    return abuse.abuse_rates(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "review_labels")).withColumn("rate", F.round("rate", 6))
 
 
 def queries() -> dict[str, Query]:
