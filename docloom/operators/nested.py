@@ -151,39 +151,31 @@ _NODE = T.StructType([
 ])
 
 
-def _as(c: Column | None, want: T.DataType, have: T.DataType | None) -> Column:
-    """A column cast to the wanted type; a missing field, or one of another make, is null."""
-    if c is None or have is None:
-        return F.lit(None).cast(want)
-    if isinstance(want, T.ArrayType):
-        if not isinstance(have, T.ArrayType):
-            return F.lit(None).cast(want)
-        return F.transform(c, lambda x: _as(x, want.elementType, have.elementType))
-    if isinstance(want, T.StructType):
-        if not isinstance(have, T.StructType):
-            return F.lit(None).cast(want)
-        kinds = {f.name: f.dataType for f in have.fields}
-        return F.when(c.isNotNull(), F.struct(*[_as(c[f.name] if f.name in kinds else None, f.dataType, kinds.get(f.name)).alias(f.name) for f in want.fields]))
-    return F.lit(None).cast(want) if isinstance(have, (T.ArrayType, T.StructType)) else c.cast(want)
-
-
-def _preorder(blocks: Column, t: T.DataType, depth: int, i: Column, fields: list[str]) -> Column:
+def block_type(levels: int, fields: list[str]) -> T.ArrayType:
+    """The type to read blocks with: as many levels as the merged schema has, with the wanted fields at each.
+
+    What is below a block has one type, whether it stands in items or in children, so each level needs one expression.
+    """
+    own = [f for f in _NODE.fields if f.name in fields and f.name not in ("depth", "i", "j")]
+    if levels > 1:
+        below = block_type(levels - 1, fields)
+        own += [T.StructField("items", T.ArrayType(below)), T.StructField("children", below)]
+    return T.ArrayType(T.StructType(own or [T.StructField("type", T.StringType())]))
+
+
+def _preorder(blocks: Column, levels: int, depth: int, i: Column, fields: list[str]) -> Column:
     """Array of the nodes of an array of blocks and of all below them, in pre-order."""
-    want = {f.name: f.dataType for f in _NODE.fields if f.name in fields}
     empty = F.array().cast(T.ArrayType(T.StructType([f for f in _NODE.fields if f.name in ("depth", "i", "j") or f.name in fields])))
-    if not (isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType)):
-        return empty
-    kinds = {f.name: f.dataType for f in t.elementType.fields}
+    names = [f.name for f in _NODE.fields if f.name in fields and f.name not in ("depth", "i", "j")]
 
     def one(b: Column, j: Column) -> Column:
-        node = F.struct(F.lit(depth).alias("depth"), i.cast("int").alias("i"), j.cast("int").alias("j"), *[_as(b[n] if n in kinds else None, k, kinds.get(n)).alias(n) for n, k in want.items()])
-        parts = [F.array(node)]
-        items = kinds.get("items")
-        if isinstance(items, T.ArrayType) and isinstance(items.elementType, T.ArrayType):
-            parts.append(F.flatten(F.transform(F.coalesce(b["items"], F.array().cast(items)), lambda item, k: _preorder(item, items.elementType, depth + 1, k, fields))))
-        if "children" in kinds:
-            parts.append(_preorder(b["children"], kinds["children"], depth + 1, F.lit(0), fields))
-        return F.when(b.isNotNull(), F.concat(*parts)).otherwise(empty)
+        node = F.array(F.struct(F.lit(depth).alias("depth"), i.cast("int").alias("i"), j.cast("int").alias("j"), *[b[n].alias(n) for n in names]))
+        if levels > 1:
+            none = F.array().cast(T.ArrayType(block_type(levels - 1, fields)))
+            items = F.coalesce(b["items"], none)
+            groups = F.concat(items, F.when(b["children"].isNotNull(), F.array(b["children"])).otherwise(none))  # children are one more group, as item 0
+            node = F.concat(node, F.flatten(F.transform(groups, lambda g, k: _preorder(g, levels - 1, depth + 1, F.when(k < F.size(items), k).otherwise(0), fields))))
+        return F.when(b.isNotNull(), node).otherwise(empty)
 
     return F.coalesce(F.flatten(F.transform(blocks, one)), empty)
 
@@ -207,10 +199,10 @@ def block_rows(docs: DataFrame, fields: list[str] | None = None, schema: T.DataT
     """
     schema = schema or infer_schema(docs, "blocks")
     fields = [f.name for f in _NODE.fields[3:]] if fields is None else fields
-    rows = docs.select("id", "indexed_at", "arrived_at", _preorder(F.from_json("blocks", schema), schema, 0, F.lit(0), fields).alias("nodes"))
+    deep = max(1, depth_of(schema))
+    rows = docs.select("id", "indexed_at", "arrived_at", _preorder(F.from_json("blocks", block_type(deep, fields)), deep, 0, F.lit(0), fields).alias("nodes"))
     now = latest(rows, ["nodes"])
     each = now.select("id", F.posexplode("nodes").alias("ord", "n")).select("id", "ord", "n.*")
-    deep = depth_of(schema)
     if deep < 2:
         owner = F.lit(None).cast("int")
         return each.select("id", "ord", owner.alias("owner_ord"), "depth", "i", "j", *fields)

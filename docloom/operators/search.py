@@ -18,17 +18,22 @@ def terms_of(spark, query: str) -> list[str]:  # noqa: ANN001
     return list(spark.range(1).select(text.query_terms(F.lit(query)).alias("t")).first()["t"])
 
 
+def reach(wanted: list[str]):  # noqa: ANN201
+    """Which terms the query's terms can expand to, as a filter on ``term`` that reaches the scan."""
+    out = None
+    for q in wanted:
+        c = F.col("term").startswith(q) if len(q) >= MIN_PREFIX else F.col("term") == q
+        out = c if out is None else out | c
+    return out
+
+
 def candidates(terms: DataFrame, wanted: list[str], expansion: int = EXPANSION) -> DataFrame:
     """(qt, term, df, factor): dictionary terms of each query term, itself at 1.0 and the most frequent longer ones at 0.5.
 
     The query's terms are literals, so each prefix is a filter that reaches a dictionary stored in order of its terms.
     """
     own = [F.when(F.col("term").startswith(q) if len(q) >= MIN_PREFIX else F.col("term") == q, F.lit(q)) for q in wanted]
-    any_of = None
-    for q in wanted:
-        c = F.col("term").startswith(q) if len(q) >= MIN_PREFIX else F.col("term") == q
-        any_of = c if any_of is None else any_of | c
-    hits = terms.filter(any_of).select("term", "df", F.explode(F.array_compact(F.array(*own))).alias("qt"))
+    hits = terms.filter(reach(wanted)).select("term", "df", F.explode(F.array_compact(F.array(*own))).alias("qt"))
     rank = F.row_number().over(W.partitionBy("qt").orderBy(F.desc("df"), "term"))
     longer = hits.filter("term <> qt").withColumn("r", rank).filter(F.col("r") <= expansion)
     return hits.filter("term = qt").select("qt", "term", "df", F.lit(1.0).alias("factor")).unionByName(longer.select("qt", "term", "df", F.lit(PREFIX_FACTOR).alias("factor")))
@@ -50,7 +55,7 @@ def search(index: Index, query: str, sources: list[str] | None = None, limit: in
         return docs.select(key, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched"), *[c for c in docs.columns if c != key]).filter(F.lit(False))
     stats = index.stats.first()
     n, avg = F.lit(int(stats["n"])), F.lit(float(stats["avg_doc_length"]))
-    hits = index.postings.join(F.broadcast(candidates(index.terms, wanted)), "term").join(docs.select(key, "length"), key)
+    hits = index.postings.filter(reach(wanted)).join(F.broadcast(candidates(index.terms, wanted)), "term").join(docs.select(key, "length"), key)
     score = bm25(F.col("tf"), F.col("df"), n, F.col("length"), avg, F.col("factor"), float(stats["k1"]), float(stats["b"]))
     best = hits.groupBy(key, "qt").agg(F.max(score).alias("s"))
     total = best.groupBy(key).agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("matched"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.functions import html, robots, text, urls
 from docloom.functions.config import Source, boundary
 from docloom.operators import crawl, indexing, nested, portal, search, snippets
-from docloom.sources.tables import indexed, latest, spelled, table, valid_postings
+from docloom.sources.tables import indexed, latest, small, spelled, spread, table, valid_postings
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -30,7 +30,7 @@ def query(f: Query) -> Query:
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents with text, its title (an empty one if null) and its source in canonical spelling."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     return d.select(F.col("doc_id").alias("doc"), spelled("source").alias("source_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("body"))
 
 
@@ -41,10 +41,16 @@ def _crawled(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> indexing.Index:
     """The index that postings and index_docs hold, idx as the documents' key."""
-    raw = table(spark, sf_dir, "index_docs")
-    postings = valid_postings(table(spark, sf_dir, "postings"), raw).groupBy(F.col("idx").alias("doc"), "term").agg(F.sum("tf").cast("long").alias("tf"))
-    sums = postings.groupBy("doc").agg(F.sum("tf").cast("long").alias("s"))
-    docs = indexed(raw).withColumnRenamed("idx", "doc").join(sums, "doc", "left").withColumn("length", F.coalesce(F.col("length").cast("long"), "s", F.lit(0).cast("long"))).drop("s")
+    raw, listed = table(spark, sf_dir, "index_docs"), table(spark, sf_dir, "postings")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(F.col("idx").alias("doc"), "term").agg(F.sum("tf").cast("long").alias("tf"))
+
+    postings = counted(valid_postings(listed, raw))
+    docs = indexed(raw).withColumnRenamed("idx", "doc")
+    unknown = small(docs.filter("length IS NULL").select(F.col("doc").alias("idx")))  # only their lengths are summed
+    sums = counted(valid_postings(listed.join(unknown, "idx", "left_semi"), raw)).groupBy("doc").agg(F.sum("tf").cast("long").alias("s"))
+    docs = docs.join(sums, "doc", "left").withColumn("length", F.coalesce(F.col("length").cast("long"), "s", F.lit(0).cast("long"))).drop("s")
     return indexing.Index(postings, indexing.document_frequency(postings), docs, indexing.statistics(docs))
 
 
@@ -140,7 +146,7 @@ def posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def crawl_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index built from the crawled documents' blocks: a row a document."""
-    docs = indexing.index_documents(table(spark, sf_dir, "crawl_docs"))
+    docs = indexing.index_documents(spread(table(spark, sf_dir, "crawl_docs")))
     return indexing.build_index(docs).docs.select("doc", "length", "summary")
 
 
@@ -253,21 +259,21 @@ def best_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = snippets.segments(nested.block_rows(table(spark, sf_dir, "crawl_docs"), ["type", "anchor", "text", "spans", "rows"]))
+    parts = snippets.segments(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["type", "anchor", "text", "spans", "rows"]))
     best = snippets.best_snippets(parts, SEGMENT_TERMS)
     return best.select("id", "snippet", "anchor", "heading", F.size(F.filter(snippets.highlight("snippet", SEGMENT_TERMS), lambda p: p["hit"])).alias("hits"))
 
 
 @query
 def table_of_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = portal.split_title(nested.block_rows(table(spark, sf_dir, "crawl_docs"), ["type", "level", "anchor"])).filter("NOT is_title OR is_title IS NULL")
+    b = portal.split_title(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["type", "level", "anchor"])).filter("NOT is_title OR is_title IS NULL")
     heads = _crawled(spark, sf_dir, "headings").select("id", F.posexplode("headings").alias("place", "h")).select("id", "place", "h.*")
     return portal.contents(heads, b)
 
 
 @query
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portal.to_markdown(nested.block_rows(table(spark, sf_dir, "crawl_docs"), ["type", "level", "text", "lang", "spans", "rows"]))
+    return portal.to_markdown(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["type", "level", "text", "lang", "spans", "rows"]))
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,23 +300,23 @@ def crawl_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.nested_places(table(spark, sf_dir, "crawl_docs"))
+    return nested.nested_places(spread(table(spark, sf_dir, "crawl_docs")))
 
 
 @query
 def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = nested.block_rows(table(spark, sf_dir, "crawl_docs"), ["type", "level", "anchor", "text", "lang", "ordered", "header"])
+    b = nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["type", "level", "anchor", "text", "lang", "ordered", "header"])
     return b.withColumns({c: F.col(c).cast("int") for c in ("ordered", "header")})
 
 
 @query
 def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.span_rows(nested.block_rows(table(spark, sf_dir, "crawl_docs"), ["spans"]))
+    return nested.span_rows(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["spans"]))
 
 
 @query
 def p5_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.cell_rows(nested.block_rows(table(spark, sf_dir, "crawl_docs"), ["rows"]))
+    return nested.cell_rows(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["rows"]))
 
 
 def queries() -> dict[str, Query]:

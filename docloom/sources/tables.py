@@ -35,6 +35,24 @@ def spelled(c: Column | str) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(F.regexp_replace(c, r"[\s_\- ]+", " "))), " ", "-"), F.lit(""))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least half as many partitions as there are cores: a small table in one file would keep one core busy.
+
+    A table that the scan already splits far enough is left as it is, so large inputs aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
+
+
+#: Rows of a side up to which it is sent to all executors; beyond it a shuffle join is used.
+SENT_ROWS = 2_000_000
+
+
+def small(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """df marked to be broadcast if it has at most ``most`` rows, else df itself. Counts it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def valid_postings(postings: DataFrame, index_docs: DataFrame) -> DataFrame:
     """Postings with a term that is neither null nor empty and an idx of index_docs; repeated rows count once.
 
@@ -42,7 +60,7 @@ def valid_postings(postings: DataFrame, index_docs: DataFrame) -> DataFrame:
     """
     docs = index_docs.select("idx").filter(F.col("idx").isNotNull()).distinct()
     rows = postings.select("source_id", "term", "idx", "tf").filter("term IS NOT NULL AND term <> '' AND idx IS NOT NULL")
-    return rows.distinct().join(docs, "idx", "left_semi").select("source_id", "term", "idx", "tf")
+    return rows.join(small(docs), "idx", "left_semi").select("source_id", "term", "idx", "tf").distinct()
 
 
 def index_header(search_index: DataFrame) -> DataFrame:
