@@ -286,3 +286,17 @@ def test_abuse(spark):
 def test_disguises_read_alike():
     assert abuse.plain("Id1ot") == abuse.plain("IDIOT") == abuse.plain("idi​ot") == "idiot"
     assert abuse.plain("b-a-s-t-a-r-d").strip() == "bastard" and abuse.plain("baaaastard") == "bastard"
+
+
+def test_two_masked_letters_score_nearer_the_plain_spelling_than_other_masks():
+    frames = ["you are an %s", "what an %s this is", "look at the %s of the team", "only an %s would write it", "there is an %s in this channel"]
+    calm = ["index", "image", "event", "input", "issue", "alias"]
+    table, bias = abuse.fit_rows([(f % "idiot", 1) for f in frames] + [(f % w, 0) for f in frames for w in calm], [])
+    score = lambda w: float(abuse.Units([abuse.plain(f"he is an {w} again")]).best(table)[0] + bias)
+    assert score("i**ot") > max(map(score, ("i**ex", "i**ge", "a**as", "******"))) + 0.05 and score("idiot") > score("i**ot")
+
+    def features(word):
+        s = abuse.codes(f" {word} ").tolist()
+        return {tuple(s[at + p] for p in places) for places in abuse.PLACES for at in range(len(s) - places[-1])}
+
+    assert len(abuse.PLACES) == 10 and features("idiot") & features("i**ot")
