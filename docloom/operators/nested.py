@@ -7,6 +7,10 @@ blocks, whose surrogate key is the pre-order place, with tables of spans and cel
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,7 +156,7 @@ _NODE = T.StructType([
 
 
 def block_type(levels: int, fields: list[str]) -> T.ArrayType:
-    """The type to read blocks with: as many levels as the merged schema has, with the wanted fields at each.
+    """The type to read blocks with: as many levels as the documents have, with the wanted fields at each.
 
     What is below a block has one type, whether it stands in items or in children, so each level needs one expression.
     """
@@ -189,18 +193,54 @@ def depth_of(t: T.DataType) -> int:
     return 1 + max(depth_of(kinds.get("children")), depth_of(items.elementType) if isinstance(items, T.ArrayType) else 0)
 
 
+def _read(blocks: str, kind: T.ArrayType) -> Column:
+    """A column of JSON texts by a type, null where it doesn't hold an array: an object alone would be read as an array of it."""
+    return F.when(F.col(blocks).rlike(r"^\s*\["), F.from_json(blocks, kind))
+
+
+def _levels(text: str | None) -> int:
+    """Levels of blocks in a JSON text; 0 for what isn't an array of blocks or is malformed."""
+    try:
+        now, n = _JSON.raw_decode((text or "").lstrip())[0], 0
+    except (ValueError, RecursionError):
+        return 0
+    while blocks := [b for b in now if isinstance(b, dict)] if isinstance(now, list) else []:
+        n += 1
+        groups = [b.get("children") for b in blocks]
+        for b in blocks:
+            groups += b["items"] if isinstance(b.get("items"), list) else []
+        now = [b for g in groups if isinstance(g, list) for b in g]
+    return n
+
+
+_JSON = json.JSONDecoder(strict=False)
+
+
+def _most_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([max(map(_levels, rb.column(0).to_pylist()), default=0)], pa.int32())], ["n"])
+
+
+def block_levels(docs: DataFrame) -> int:
+    """The most levels of blocks in any document, 1 at least, by a distributed maximum.
+
+    Each document counts by itself, so that one of another form hides nothing of the others.
+    """
+    return max(1, docs.select("blocks").mapInArrow(_most_levels, "n int").agg(F.max("n").alias("n")).first()["n"] or 0)
+
+
 def block_rows(docs: DataFrame, fields: list[str] | None = None, schema: T.DataType | None = None) -> DataFrame:
     """One row per block of the current documents: id, ord, owner_ord, depth, i, j and the block's fields.
 
     ord is the place in the pre-order walk, owner_ord that of the parent (null for a top-level block), i the item's number
-    (0 in a quote and at the top), j the place within. Documents with null, malformed or empty blocks have no rows; null
-    blocks are skipped but keep their place; rows of unequal length and absent fields are kept as they are. ``fields``
+    (0 in a quote and at the top), j the place within. Documents with null, malformed or empty blocks, or with something
+    else than an array, have no rows; a field of another kind than its own is null in its block alone, whatever stands in
+    others; null blocks are skipped but keep their place; rows of unequal length and absent fields are kept as they are. ``fields``
     names the block's fields to carry (all of them if None), so that no more than these are shuffled, once, by id.
     """
-    schema = schema or infer_schema(docs, "blocks")
     fields = [f.name for f in _NODE.fields[3:]] if fields is None else fields
-    deep = max(1, depth_of(schema))
-    rows = docs.select("id", "indexed_at", "arrived_at", _preorder(F.from_json("blocks", block_type(deep, fields)), deep, 0, F.lit(0), fields).alias("nodes"))
+    deep = max(1, depth_of(schema)) if schema else block_levels(docs)
+    rows = docs.select("id", "indexed_at", "arrived_at", _preorder(_read("blocks", block_type(deep, fields)), deep, 0, F.lit(0), fields).alias("nodes"))
     now = latest(rows, ["nodes"])
     each = now.select("id", F.posexplode("nodes").alias("ord", "n")).select("id", "ord", "n.*")
     if deep < 2:

@@ -130,6 +130,18 @@ def test_nested(spark):
     assert [(r["_parent"], r["_ordinal"], r["value"]) for r in t["$.l[]"].orderBy("_key").collect()] == [("0.0", 0, 1), ("0.1", 0, 2), ("0.1", 1, 3)]
 
 
+@pytest.mark.parametrize("odd", [{"a": 1}, 3, [{"type": "list", "items": "x"}], [{"type": "list", "items": {}}], [{"type": "list", "items": ["x"]}], [{"type": "quote", "children": "x"}], ["x"]])
+def test_an_odd_record_removes_nothing_of_others(spark, odd):
+    blocks = [{"type": "list", "items": [[{"type": "quote", "children": [{"type": "paragraph", "spans": [{"t": "a", "h": "u"}]}]}]]}]
+    at = datetime(2026, 1, 1)
+    docs = spark.createDataFrame([("d", at, at, json.dumps(blocks)), ("odd", at, at, json.dumps(odd))], "id string, indexed_at timestamp, arrived_at timestamp, blocks string")
+    b = nested.block_rows(docs).cache()
+    assert [(r["ord"], r["depth"]) for r in b.filter("id = 'd'").orderBy("ord").collect()] == [(k, k) for k in range(3)]
+    assert [(r["ord"], r["t"]) for r in nested.span_rows(b).collect()] == [(2, "a")]
+    assert [r["depth"] for r in b.filter("id = 'odd'").collect()] == ([0] if isinstance(odd, list) and odd != ["x"] else [])
+    assert nested.nested_places(docs).filter("kind = 'block'").count() == 2
+
+
 def test_stream(spark, tmp_path):
     from docloom.streaming import ingest
 
