@@ -251,6 +251,20 @@ def test_leak_recall_with_an_edit():
     assert leaks.edit_distances(np.array([[1, 2, 3]], np.uint64), np.array([[2, 3, 4]], np.uint64)).tolist() == [2]
 
 
+def test_leaks_of_one_edited_window(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    items, docs = {}, {}
+    for k in range(900):
+        items[k] = [word() for _ in range(13)]
+        w, at = list(items[k]), rng.randrange(1, 12)
+        w[at : at + 1] = [[word()], [w[at], word()], []][k % 3]
+        docs[k] = " ".join(w if k % 9 > 5 else [*(word() for _ in range(9)), *w, *(word() for _ in range(9))])
+    found = leaks.leaked(spark.createDataFrame([*docs.items()], "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id long, text string")).collect()
+    assert all(r["doc_id"] == r["item_id"] and r["edits"] == 1 for r in found)
+    assert min(sum(r["doc_id"] % 3 == kind for r in found) for kind in range(3)) >= 270
+
+
 # -- mixing
 
 
