@@ -124,6 +124,13 @@ def test_residue(spark):
     assert residue.residue(crawled(spark, []), index.limit(0)).count() == 0
 
 
+def test_residue_on_unseen_hosts(spark):
+    body = [P("The gateway keeps one cursor for every timeout that the tool has seen."), P("Use the option to open the next stage before it starts.")] * 4
+    rows = [(f"{h}{k}", h, [*body, P("{{ productName }}")] if k == 0 else body, "Guide") for h in "abcdefghij" for k in range(6)]
+    got = residue.validate(crawled(spark, rows))
+    assert 0 < got["positives"] < got["units"] and got["recall"] >= 0.9 and got["precision"] >= 0.7
+
+
 # -- terms
 
 
