@@ -89,12 +89,13 @@ def indexed(index_docs: DataFrame) -> DataFrame:
     )
 
 
-def bounded_sample(df: DataFrame, keys: list[str], most: int) -> DataFrame:
+def bounded_sample(df: DataFrame, keys: list[str], most: int, n: int | None = None) -> DataFrame:
     """At most ``most`` rows, those with the smallest hashes of their keys, whatever the number of rows and partitions.
 
-    Rows are first thinned by their hash to about twice as many, so that no partition sends more than its share.
+    Rows are first thinned by their hash to about twice as many, so that no partition sends more than its share. n is
+    the number of rows where it is known.
     """
-    n = df.count()
+    n = df.count() if n is None else n
     h = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
     kept = df.withColumn("_h", h)
     if n > 2 * most:
