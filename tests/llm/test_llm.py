@@ -6,6 +6,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import abuse, boilerplate, distinctive, graph, leaks, lines, mixing, neardup, residue, terms
 from docloom.llm.vectext import word_hashes
@@ -111,24 +112,41 @@ def test_word_hashes_follow_the_tokenizer():
 # -- residue
 
 
+BODY = [P("The gateway keeps one cursor for every timeout that the tool has seen."), P("Use the option to open the next stage before it starts.")] * 8
+
+
+def site_pages(hosts="abcdefghij"):
+    """Pages of ten hosts: ordinary ones, a third with a field's signs, filler, an error message or a script notice."""
+    odd = [[*BODY, P("{{ productName }}")], [P("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do.")], [P("This page could not be found.")], [P("Please turn on scripts to read this page.")], [*BODY, P("%%section name%%: driver")], [*BODY, P("<%= topic %>")]]
+    return [(f"{h}{k:02d}", h, odd[(k + ord(h)) % len(odd)] if k < 4 else [*BODY[: 4 + k], P(f"In doubt, number {k} of {h} comes first.")], "Error 404" if k < 4 and (k + ord(h)) % len(odd) == 2 else "Guide") for h in hosts for k in range(12)]
+
+
 def test_residue(spark):
-    body = [P("The gateway keeps one cursor for every timeout that the tool has seen."), P("Use the option to open the next stage before it starts.")] * 4
     rows = [
-        ("ok", "a", body, "Tuning the gateway"), ("mark", "a", [*body, P("{{ productName }}")], "Guide"), ("title", "b", body, "[[ chapter name ]]"), ("lorem", "b", [P("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do.")], "Guide"),
-        ("gone", "c", [P("The requested page could not be found.")], "404 Not Found"), ("script", "c", [P("Please enable JavaScript to view this page.")], "Guide"), ("code", "d", [*body, {"type": "code", "text": "<h1>{{ page.title }}</h1>"}], "Template language"),
-        ("about", "d", [*body, P("The text ${NAME} in a value is replaced by the variable of that name; it leaves unknown names such as ${OTHER} untouched.")], "Environment placeholders"), ("null", "e", None, None), ("sum", "e", body, "Guide"),
+        *site_pages(), ("ok", "a", BODY, "Tuning the gateway"), ("mark", "a", [*BODY, P("{{ chapterName }}")], "Guide"), ("title", "b", BODY, "%%chapter name%%"), ("lorem", "b", [P("Lorem ipsum dolor sit amet consectetur adipiscing elit sed do.")], "Guide"),
+        ("gone", "c", [P("This page could not be found.")], "Error 404"), ("script", "c", [P("Please turn on scripts to read this page.")], "Guide"), ("code", "d", [*BODY, {"type": "code", "text": "<h1>{{ page.title }}</h1>"}], "Template language"),
+        ("about", "d", [*BODY, P("A value such as ${NAME} is replaced where the tool reads the file before it starts.")], "Variables"), ("null", "e", None, None), ("sum", "e", BODY, "Guide"),
     ]
-    index = spark.createDataFrame([(1, "sum", "Some text. {{topic}}"), (2, "ok", None), (3, "only", "TODO: write this section")], "idx long, id string, summary string")
+    index = spark.createDataFrame([(1, "sum", "Some text. {{ productName }}"), (2, "ok", None), (3, "only", "<%= topic %>")], "idx long, id string, summary string")
     got = {r["id"] for r in residue.residue(crawled(spark, rows), index).collect()}
-    assert got == {"mark", "title", "lorem", "gone", "script", "sum", "only"}
+    assert {i for i in got if not i[1:].isdigit()} == {"mark", "title", "lorem", "gone", "script", "sum", "only"}
+    assert {i for i in got if i[1:].isdigit()} == {i for i, *_ in site_pages() if int(i[1:]) < 4}
     assert residue.residue(crawled(spark, []), index.limit(0)).count() == 0
 
 
 def test_residue_on_unseen_hosts(spark):
-    body = [P("The gateway keeps one cursor for every timeout that the tool has seen."), P("Use the option to open the next stage before it starts.")] * 4
-    rows = [(f"{h}{k}", h, [*body, P("{{ productName }}")] if k == 0 else body, "Guide") for h in "abcdefghij" for k in range(6)]
-    got = residue.validate(crawled(spark, rows))
-    assert 0 < got["positives"] < got["units"] and got["recall"] >= 0.9 and got["precision"] >= 0.7
+    """Every page's host is in no fit that judges it."""
+    rows = [(i, h, b, t) for i, h, b, t in site_pages()]
+    docs = crawled(spark, rows).withColumn("url", F.concat(F.lit("https://"), "source_id", F.lit(".example/"), "id"))
+    got = residue.validate(docs)
+    assert got["positives"] >= 30 and got["recall"] >= 0.9 and got["precision"] >= 0.9
+
+
+def test_signs_of_templates():
+    for unit in ("{{ x }}", "<%= heading %>: module", "${NAME}", "#{summary}", "@@T@@ - Help", "[CHAPTER]", "<company name>", "__topic__", "[[ a b ]]", "%VERSION%"):
+        assert residue.weak_label(unit, 300) == 1, unit
+    for unit in ("use (foo) here", "a <b> c", "{0} of {1}", "a · b · c", "« one 1.2 two 3.4 »", "A value such as ${NAME} is replaced where the tool reads the file before it starts again.", ""):
+        assert residue.weak_label(unit, 300) == 0, unit
 
 
 # -- terms
