@@ -1,8 +1,9 @@
 """Page boilerplate beside the main content (problem 7), by two passes of block rules.
 
-The first pass decides each top-level block by itself, from its stop-word density, length, link density, the site's name
-and wording that only page furniture has; the second gives ambiguous short blocks the label of their nearest decided
-neighbours, headings that of the list they head.
+The first pass decides each top-level block by itself, from its stop-word density, length, link density, separators, the
+site's name, and from how many different pages of the corpus have its lines too; the second gives ambiguous short blocks
+the label of their nearest decided neighbours, headings that of the list they head. No wording is written down but stop
+words: what furniture says is found by counting.
 """
 
 from __future__ import annotations
@@ -11,16 +12,24 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.blocks import page_text, parse_blocks
+from docloom.session import cut
 from docloom.sources.tables import latest
 
 #: Words from which a block is decided by its stop words, and the densities of the decision.
 LONG, STOPS_HIGH, STOPS_LOW, LINKS_HIGH, LINKS_LOW = 8, 0.18, 0.08, 0.5, 0.3
 #: Words up to which a paragraph that names its own site is taken for page furniture.
 SITE_LINE = 40
+#: A line is common from so many pages and such a share of all pages; near-copies of a page count once.
+COMMON_PAGES, COMMON_SHARE = 5, 0.0015
+#: Share of a block's words in common lines from which it is furniture.
+COMMON_WORDS = 0.6
+#: A page with fewer words is short; a line with at least this share of its pages among them is a message, which is content.
+SHORT_PAGE, MESSAGE_SHARE = 60, 0.5
 
 # Frequent words of the four languages of the corpus.
 STOP_WORDS = frozenset(
@@ -33,34 +42,6 @@ STOP_WORDS = frozenset(
     al ante cada como con cuando de del desde donde el en entre es esta este hasta hay la las lo los más mismo muy no o para pero por puede que se si sin sobre
     solo su sus también un una y""".split()
 )
-# Wording of consent notices, navigation, legal, share, feedback and byline lines.
-FURNITURE = re.compile(
-    r"""(?:we|(?:web)?site)\ uses?\ cookies|use\ cookies\ to|cookie\ (?:policy|settings:)|cookies\ (?:afin|para\ (?:recordar|medir|mejorar))|verwendet\ cookies|optional\ cookies
-    |datenschutz-einstellungen|consent\ required|withdraw\ consent|your\ privacy\ matters|choix\ de\ confidentialité|we\ and\ our\ partners|data\ protection\ rules|marker\ in\ your\ browser
-    |stores\ small\ files|you\ accept\ that\ we|only\ keep\ what\ is\ needed|tracking\ choices|manage\ preferences|accept\ all\ (?:/|$)
-    |all\ rights\ reserved|tous\ droits\ réservés|alle\ rechte\ vorbehalten|todos\ los\ derechos\ reservados|^\s*©|^copyright\ [\d(©]|trademark\ of\ its|without\ any\ warranty\ by|may\ be\ reused\ under
-    |views\ in\ this\ article|last\ change\ to\ this\ text|^reading\ time\ \d|gehört\ zur\ reihe|^tell\ your\ team|pass\ the\ link\ on|^printed\ from\ the
-    |readers\ who\ discuss|^comparta\ esta|^partagez\ cet|was\ this\ page|page\ helpful|volunteer\ work|your\ favourite\ network|^back\ to\ (?:top|the\ start)|^log\ in\ to\ vote
-    |^subscribe\ to\ the\ .{1,80}newsletter|^sponsored:|^need\ help\?|documentation\ group,|old\ version\.\ switch|^rate\ this|^built\ with\ the|^select\ version|^language:|^found\ a\ typo
-    |^edit\ this\ page|^terms\ of\ use|^sitemap\b|^skip\ to\ content|^share\b.{1,5}\bprint\b|^status\b.{1,5}\bcareers|^previous:.*next:|^next\ up:|^«.*»$|^comments\ are\ closed|^updated\ on\ \d|^posted\ by|^written\ and\ reviewed\ by""",
-    re.VERBOSE | re.DOTALL,
-)
-# A block without any of these words has no such wording.
-TRIGGERS = frozenset(
-    """cookie cookies datenschutz consent privacy confidentialité partners protection marker stores accept needed tracking preferences rights droits rechte derechos copyright trademark
-    warranty reused views change reading reihe tell pass printed readers comparta partagez helpful volunteer favourite back log subscribe sponsored help documentation old rate built select
-    language found edit terms sitemap skip share status previous next updated posted reviewed comments""".split()
-)
-# Headings of sidebars.
-SIDEBAR = re.compile(
-    r"^\s*(?:in this section|on this page|(?:table of )?contents|tags|related (?:pages|articles|topics)|recently viewed|popular topics|more from\b.*|see also|auf dieser seite|sur cette page|en esta página|inhalt|sommaire|contenido)\s*$",
-    re.IGNORECASE,
-)
-# Messages that stand in place of content, which count as the page's own content.
-MESSAGE = re.compile(
-    r"javascript|scripts? (?:are|and)|scripting|not found|nicht gefunden|introuvable|no encontrada|does not exist|went wrong|server error|unavailable|session has timed|permission to view|rate limited|verifying that you|scheduled maintenance|upstream connect|lorem|ipsum|coming soon|goes here|replace me|dummy copy|steht bald|didn.t work|try again|\{\{|\$\{|<%|%%|@@|\[\[|\{%|todo:",
-    re.IGNORECASE,
-)
 _WORD = re.compile(r"[^\W_]+")
 _PARTS = re.compile(r"\s*(?:[|·•»›→/>]|\s[—–-]\s)\s*")
 _ENDS = (".", "!", "?", ":", ";")
@@ -88,36 +69,62 @@ def _scan(blocks: list, lines: list[str]) -> int:
     return n
 
 
-def decide(b: dict, site: str, own_headings: set[str]) -> bool | None:
+def parts(line: str, site: str, title: str) -> list[str]:
+    """A line's sentences and the parts between its separators, as they are counted: lower case, runs of digits, the site's
+    name and the page's title masked, white space as one space."""
+    out = []
+    line = " ".join(line.lower().split())
+    if len(title := _SUFFIX.split(title)[0].strip()) > 8:
+        line = line.replace(title, "\x02")
+    for p in _SPLIT.split(line):
+        p = _DIGITS.sub("0", p)
+        p = p.replace(site, "\x01") if site else p
+        if p := p.strip(" .!?:;,()[]×"):
+            out.append(p)
+    return out
+
+
+_SPLIT = re.compile(r"(?<=[.!?:;])\s+|\s*[|·•»«›→/×]\s*|\s[—–-]\s")
+_SUFFIX = re.compile(r"\s[|·•—–-]\s")
+_DIGITS = re.compile(r"\d+(?:[.,]\d+)*")
+
+
+def key(part: str) -> int:
+    x = xxhash.xxh3_64_intdigest(part)
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def decide(b: dict, site: str, own_headings: set[str], common: frozenset[int], title: str = "") -> bool | None:
     """First pass: True for page furniture, False for content, None where the block alone can't tell."""
     kind = b.get("type")
-    if kind in ("code", "table"):
-        return False
+    if kind in ("code", "table", "heading"):
+        return None if kind == "heading" else False
     lines: list[str] = []
     linked = _scan([b], lines)
+    lines = [x for x in lines if x.strip()]
     low = "\n".join(lines).lower()
-    if kind == "heading":
-        return True if SIDEBAR.match(" ".join(low.split())) else None
     found = _WORD.findall(low)
     n = len(found)
     if not n:
         return True if low.strip() else None
     stops = sum(map(STOP_WORDS.__contains__, found)) / n
     linked /= max(1, len(low))
-    named = n <= SITE_LINE and bool(site) and site in " ".join(found)
     flat = " ".join(low.split())
+    pieces = [p for x in lines for p in parts(x, site, title)]
+    size = [len(p.split()) for p in pieces]
+    shared = sum(w for w, p in zip(size, pieces) if key(p) in common)
     ended = flat.endswith(_ENDS)
-    if n >= LONG and stops >= STOPS_HIGH and linked <= LINKS_LOW and (ended or kind != "paragraph" and len(lines) > 1 and any(x.rstrip().endswith(_ENDS) for x in lines)) and not named and "©" not in low and TRIGGERS.isdisjoint(found):
-        return False
-    wording = FURNITURE.search(flat) is not None
-    if not wording and MESSAGE.search(flat):
+    if pieces and (shared >= COMMON_WORDS * sum(size) or len(lines) == 1 and not ended and key(pieces[0]) in common):
+        return True
+    if n <= SITE_LINE and site and site in " ".join(found):
+        return True
+    if n >= LONG and stops >= STOPS_HIGH and linked <= LINKS_LOW and (ended or kind != "paragraph" and len(lines) > 1 and any(x.rstrip().endswith(_ENDS) for x in lines)):
         return False
-    lines = [x for x in lines if x.strip()]
     if kind == "paragraph" or len(lines) == 1:
-        if wording or named:
+        between = [len(p.split()) for p in _PARTS.split(flat) if p]
+        if len(between) >= 3 and max(between) <= 8 and sum(between) <= 4 * len(between) and not ended:
             return True
-        parts = [len(p.split()) for p in _PARTS.split(flat) if p]
-        if len(parts) >= 3 and max(parts) <= 8 and sum(parts) <= 4 * len(parts) and not ended:
+        if flat[0] in _AROUND and flat[-1] in _AROUND:  # arrows to the pages before and after
             return True
     if kind == "list":
         items = [x for x in (" ".join(page_text(i).split()).lower() for i in b.get("items") or () if isinstance(i, list)) if x]
@@ -129,8 +136,6 @@ def decide(b: dict, site: str, own_headings: set[str]) -> bool | None:
         return False if stops >= STOPS_LOW else None
     if linked >= LINKS_HIGH and n <= 25:
         return True
-    if n >= LONG and stops >= STOPS_HIGH and linked <= LINKS_LOW and ended:
-        return False
     if kind == "paragraph" and n >= 3 and stops < STOPS_LOW and not ended:
         shown = _WORD.findall(" ".join(lines))
         if sum(w[:1].isupper() for w in shown) * 2 >= n:
@@ -140,10 +145,13 @@ def decide(b: dict, site: str, own_headings: set[str]) -> bool | None:
     return None
 
 
-def label_page(blocks: list, site: str, headings: list[str]) -> list[bool]:
+_AROUND = "«»‹›←→"
+
+
+def label_page(blocks: list, site: str, headings: list[str], common: frozenset[int] = frozenset(), title: str = "") -> list[bool]:
     """Both passes over the top-level blocks of one page: True where a block is page furniture."""
     known = {h.lower() for h in headings}
-    first = [decide(b, site, known) if isinstance(b, dict) else None for b in blocks]
+    first = [decide(b, site, known, common, title) if isinstance(b, dict) else None for b in blocks]
     kinds = [b.get("type") if isinstance(b, dict) else None for b in blocks]
     n = len(first)
     before, after = [None] * n, [None] * n
@@ -194,12 +202,62 @@ def site_name(source_id: str | None) -> str:
     return " ".join((source_id or "").replace("-", " ").replace("_", " ").split()).lower()
 
 
-def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def page_lines(parsed: list, site: str, title: str) -> tuple[set[int], int, int, bool]:
+    """(hashes of the page's distinct lines, least hash of its sentences by two orders, whether it is short).
+
+    Near-copies have most sentences in common, so mostly the same least ones.
+    """
+    own, body, n = set(), set(), 0
+    for b in parsed:
+        if not isinstance(b, dict):
+            continue
+        lines: list[str] = []
+        _scan([b], lines)
+        n += sum([len(x.split()) for x in lines])
+        if b.get("type") not in ("code", "table", "heading"):
+            for x in lines:
+                for p in parts(x, site, title):
+                    own.add(k := key(p))
+                    if len(p.split()) >= LONG:
+                        body.add(k)
+    body = body or own
+    return own, min(body, default=0), min([(k * 0x9E3779B97F4A7C15) & 0x7FFFFFFFFFFFFFFF for k in body], default=0), n < SHORT_PAGE
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        got = [page_lines(parse_blocks(b), site_name(s), (t or "").lower()) for b, s, t in zip(*(rb.column(c).to_pylist() for c in ("blocks", "source_id", "title")))]
+        keep = [rb.column(c) for c in ("id", "indexed_at", "arrived_at")]
+        made = [pa.array([list(g[0]) for g in got], pa.list_(pa.int64())), *(pa.array([g[k] for g in got], pa.int64()) for k in (1, 2)), pa.array([g[3] for g in got], pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*keep, *made], ["id", "indexed_at", "arrived_at", "keys", "one", "two", "short"])
+
+
+def common_lines(docs: DataFrame, least: int = COMMON_PAGES, share: float = COMMON_SHARE) -> frozenset[int]:
+    """Hashes of the lines that at least ``least`` pages and ``share`` of all pages have, messages excepted.
+
+    As a page has each line once, there are at most (lines of a page) / share of them, whatever the size of the corpus: so
+    few are sent to all executors, first to be counted again with near-copies as one page, then to judge by. Counting
+    combines on the map side.
+    """
+    counted = _times(docs).mapInArrow(_count, "id string, indexed_at long, arrived_at long, keys array<long>, one long, two long, short boolean")
+    pages = cut(latest(counted, ["keys", "one", "two", "short"]))
+    enough = max(least, share * pages.count())
+    lines = pages.select(F.explode("keys").alias("key"), "one", "two", "short")
+    often = lines.groupBy("key").agg(F.count(F.lit(1)).alias("pages"), F.count_if("short").alias("short")).filter((F.col("pages") >= enough) & (F.col("short") < MESSAGE_SHARE * F.col("pages")))
+    again = lines.join(F.broadcast(often.select("key")), "key").groupBy("key").agg(F.approx_count_distinct("one").alias("one"), F.approx_count_distinct("two").alias("two"))
+    return frozenset(r["key"] for r in again.filter(F.greatest("one", "two") >= enough).select("key").collect())
+
+
+def _times(docs: DataFrame) -> DataFrame:
+    return docs.select("id", "source_id", "title", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("indexed_at", "arrived_at")], F.transform("headings", lambda h: h["text"]).alias("headings"), "blocks")
+
+
+def _label(batches: Iterator[pa.RecordBatch], common: frozenset[int]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         ords, sizes = [], []
-        for blocks, source, headings in zip(rb.column("blocks").to_pylist(), rb.column("source_id").to_pylist(), rb.column("headings").to_pylist()):
+        for blocks, source, headings, title in zip(*(rb.column(c).to_pylist() for c in ("blocks", "source_id", "headings", "title"))):
             parsed = parse_blocks(blocks)
-            flags = label_page(parsed, site_name(source), [h for h in headings or () if h])
+            flags = label_page(parsed, site_name(source), [h for h in headings or () if h], common, (title or "").lower())
             at = _ords(parsed)
             ords.append([o for o, f in zip(at, flags) if f])
             sizes.append(len(parsed))
@@ -210,12 +268,12 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def boilerplate_blocks(docs: DataFrame) -> DataFrame:
     """(id, ords, top_blocks): for each current document, the places of its top-level blocks that are page furniture.
 
-    Every page is judged by itself where it is read; only the places are shuffled, for the choice of the current row.
-    Null, malformed and empty blocks give an empty array; blocks that aren't objects are never named; pages of any length
-    are read whole.
+    One pass counts the lines of all current documents, a second judges every page where it is read; only hashes and
+    places are shuffled. Null, malformed and empty blocks give an empty array; blocks that aren't objects are never named;
+    pages of any length are read whole.
     """
-    rows = docs.select("id", "source_id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("indexed_at", "arrived_at")], F.transform("headings", lambda h: h["text"]).alias("headings"), "blocks")
-    labelled = rows.mapInArrow(_label, "id string, indexed_at long, arrived_at long, ords array<int>, top_blocks int")
+    shared = docs.sparkSession.sparkContext.broadcast(common_lines(docs))
+    labelled = _times(docs).mapInArrow(lambda it: _label(it, shared.value), "id string, indexed_at long, arrived_at long, ords array<int>, top_blocks int")
     return latest(labelled, ["ords", "top_blocks"]).drop("indexed_at")
 
 
@@ -226,15 +284,15 @@ def boilerplate_ords(docs: DataFrame) -> DataFrame:
 
 def main_content(docs: DataFrame) -> DataFrame:
     """(id, text): the text of each current document's own content, a line for each span group, code or cell."""
+    shared = docs.sparkSession.sparkContext.broadcast(common_lines(docs))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             out = []
-            for blocks, source, headings in zip(rb.column("blocks").to_pylist(), rb.column("source_id").to_pylist(), rb.column("headings").to_pylist()):
+            for blocks, source, headings, title in zip(*(rb.column(c).to_pylist() for c in ("blocks", "source_id", "headings", "title"))):
                 parsed = parse_blocks(blocks)
-                flags = label_page(parsed, site_name(source), [h for h in headings or () if h])
+                flags = label_page(parsed, site_name(source), [h for h in headings or () if h], shared.value, (title or "").lower())
                 out.append(page_text([b for b, f in zip(parsed, flags) if not f]))
             yield pa.RecordBatch.from_arrays([rb.column("id"), pa.array(out, pa.string())], ["id", "text"])
 
-    now = latest(docs.select("id", "source_id", "indexed_at", "arrived_at", F.transform("headings", lambda h: h["text"]).alias("headings"), "blocks"), ["source_id", "headings", "blocks"])
-    return now.mapInArrow(keep, "id string, text string")
+    return latest(_times(docs), ["source_id", "title", "headings", "blocks"]).mapInArrow(keep, "id string, text string")

@@ -212,23 +212,29 @@ def test_repeated_lines(spark):
 
 def test_boilerplate(spark):
     link = lambda t: {"t": t, "h": "https://x/"}
-    blocks = [
-        {"type": "list", "items": [[{"type": "paragraph", "spans": [link("Docs")]}], [{"type": "paragraph", "spans": [link("Blog")]}]]},
-        P("We use cookies to remember your theme. By continuing you agree to our cookie policy."),
-        P("Home » Guides » Default cursor"),
-        {"type": "heading", "level": 1, "spans": [{"t": "The cookie setting"}]},
-        P("The gateway keeps one cookie for every timeout that the tool has seen, and drops it after 5 seconds."),
-        {"type": "code", "text": "all rights reserved"},
-        P("To accept all cookies during a test, set max_event to the compact service."),
-        {"type": "heading", "level": 4, "spans": [{"t": "Related pages"}]},
-        {"type": "list", "items": [[{"type": "paragraph", "spans": [link("Fresh anchors")]}], [P("Using the tool")]]},
-        P("© 2024 Some Guide contributors. All rights reserved."),
-    ]
-    docs = crawled(spark, [("d", "some-guide", blocks, None), ("n", "x", None, None), ("g", "x", [P("The requested page could not be found.")], None)])
+    rng = random.Random(3)
+    body = lambda: P(f"The {text(rng, 2)} keeps one {text(rng, 1)} for every {text(rng, 2)} that it has seen, and drops it after 5 seconds.")
+
+    def page(k):
+        return [
+            {"type": "list", "items": [[{"type": "paragraph", "spans": [link("Docs")]}], [{"type": "paragraph", "spans": [link("Blog")]}]]},
+            P("This garden keeps a note of every visit. Fine with me"), P("Home » Guides » Default cursor"),
+            {"type": "heading", "level": 1, "spans": [{"t": f"The {text(rng, 1)} setting"}]}, body(), {"type": "code", "text": "all rights reserved"}, body(),
+            {"type": "heading", "level": 4, "spans": [{"t": "Related pages"}]}, {"type": "list", "items": [[{"type": "paragraph", "spans": [link(text(rng, 2))]}], [P("Using the tool")]]},
+            P(f"Painted in {1990 + k % 30} for the readers of Some Guide by hand."), P("Nobody waters the flowers in the summer unless it rains for long."),
+        ]
+
+    pages = {f"d{k:02d}": page(k) for k in range(40)}
+    copied = [body() for _ in range(6)]  # one page copied forty times: its sentences are no furniture
+    rows = [(i, "some-guide", b, f"Page {i}") for i, b in pages.items()] + [(f"c{k:02d}", "other", [P("Nobody waters the flowers in the summer unless it rains for long."), *copied, *([body()] if k % 10 == 0 else [])], None) for k in range(40)]
+    rows += [("n", "x", None, None), *[(f"g{k}", "x", [P("The page that you look for has gone.")], None) for k in range(12)]]
+    docs = crawled(spark, rows)
     got = {r["id"]: r["ords"] for r in boilerplate.boilerplate_blocks(docs).collect()}
-    assert got == {"d": [0, 5, 6, 11, 12, 17], "n": [], "g": []} or got["d"] == _flagged(blocks, (0, 1, 2, 7, 8, 9))
+    assert all(got[i] == _flagged(b, (0, 1, 2, 7, 8, 9, 10)) for i, b in pages.items())
+    assert all(got[f"c{k:02d}"] == [0] for k in range(40)) and got["n"] == [] and all(got[f"g{k}"] == [] for k in range(12))
     kept = {r["id"]: r["text"] for r in boilerplate.main_content(docs).collect()}
-    assert "policy" not in kept["d"] and "5 seconds" in kept["d"] and kept["g"].startswith("The requested")
+    assert "garden" not in kept["d00"] and "5 seconds" in kept["d00"] and kept["g1"].startswith("The page that")
+    assert boilerplate.boilerplate_ords(crawled(spark, [])).count() == 0
 
 
 def _flagged(blocks, tops):
