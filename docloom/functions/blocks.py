@@ -32,9 +32,11 @@ def walk(blocks: list) -> Iterator[tuple[int, int, dict]]:
         top, b = stack.pop()
         yield ord_, top, b
         ord_ += 1
-        below = [(top, c) for item in b.get("items") or () if isinstance(item, list) for c in item if isinstance(c, dict)]
-        below += [(top, c) for c in b.get("children") or () if isinstance(c, dict)]
-        stack += reversed(below)
+        items, children = b.get("items"), b.get("children")
+        if items or children:
+            below = [(top, c) for item in items if isinstance(item, list) for c in item if isinstance(c, dict)] if isinstance(items, list) else []
+            below += [(top, c) for c in children if isinstance(c, dict)] if isinstance(children, list) else []
+            stack += reversed(below)
 
 
 def spans_text(b: dict) -> str:
@@ -51,21 +53,14 @@ def own_texts(b: dict) -> list[str]:
     if isinstance(b.get("text"), str):
         out.append(b["text"])
     for row in b.get("rows") or ():
-        out += [c for c in row or () if isinstance(c, str)]
+        out += [c for c in row if isinstance(c, str)] if isinstance(row, list) else []
     return out
 
 
 def page_text(blocks: list) -> str:
     """All own texts of the blocks in pre-order, a line each."""
     out: list[str] = []
-    _gather(blocks, out)
-    return "\n".join(out)
-
-
-def _gather(blocks: list, out: list[str]) -> None:
-    for b in blocks:
-        if not isinstance(b, dict):
-            continue
+    for _, _, b in walk(blocks):
         if s := b.get("spans"):
             try:
                 out.append("".join([x["t"] for x in s]))
@@ -74,13 +69,8 @@ def _gather(blocks: list, out: list[str]) -> None:
         if isinstance(t := b.get("text"), str):
             out.append(t)
         if r := b.get("rows"):
-            out += [c for row in r if row for c in row if isinstance(c, str)]
-        if i := b.get("items"):
-            for item in i:
-                if item:
-                    _gather(item, out)
-        if c := b.get("children"):
-            _gather(c, out)
+            out += [c for row in r if isinstance(row, list) for c in row if isinstance(c, str)]
+    return "\n".join(out)
 
 
 def words(text: str) -> list[str]:

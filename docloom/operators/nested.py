@@ -10,11 +10,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from docloom.sources.tables import latest
 
@@ -147,109 +147,91 @@ def shred(df: DataFrame, key: str, column: str, schema: T.DataType | None = None
     return out
 
 
-_NODE = T.StructType([
-    T.StructField("depth", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("level", T.IntegerType()),
-    T.StructField("anchor", T.StringType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("ordered", T.BooleanType()), T.StructField("header", T.BooleanType()),
-    T.StructField("spans", T.ArrayType(T.StructType([T.StructField("t", T.StringType()), T.StructField("c", T.BooleanType()), T.StructField("b", T.BooleanType()), T.StructField("i", T.BooleanType()), T.StructField("h", T.StringType())]))),
-    T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType()))),
-])
-
-
-def block_type(levels: int, fields: list[str]) -> T.ArrayType:
-    """The type to read blocks with: as many levels as the documents have, with the wanted fields at each.
+_SPAN = pa.struct([("t", pa.string()), ("c", pa.bool_()), ("b", pa.bool_()), ("i", pa.bool_()), ("h", pa.string())])
+#: Fields of a block and their types.
+_FIELDS = {
+    "type": pa.string(), "level": pa.int32(), "anchor": pa.string(), "text": pa.string(), "lang": pa.string(), "ordered": pa.bool_(), "header": pa.bool_(),
+    "spans": pa.list_(_SPAN), "rows": pa.list_(pa.list_(pa.string())),
+}
+_SQL = {"type": "string", "level": "int", "anchor": "string", "text": "string", "lang": "string", "ordered": "boolean", "header": "boolean", "spans": "array<struct<t:string,c:boolean,b:boolean,i:boolean,h:string>>", "rows": "array<array<string>>"}
+_JSON = json.JSONDecoder(strict=False)
 
-    What is below a block has one type, whether it stands in items or in children, so each level needs one expression.
-    """
-    own = [f for f in _NODE.fields if f.name in fields and f.name not in ("depth", "i", "j")]
-    if levels > 1:
-        below = block_type(levels - 1, fields)
-        own += [T.StructField("items", T.ArrayType(below)), T.StructField("children", below)]
-    return T.ArrayType(T.StructType(own or [T.StructField("type", T.StringType())]))
 
+def _string(v: object) -> str | None:
+    """A scalar as text; null for null, objects and arrays."""
+    return v if isinstance(v, str) else None if v is None or isinstance(v, (dict, list)) else json.dumps(v)
 
-def _preorder(blocks: Column, levels: int, depth: int, i: Column, fields: list[str]) -> Column:
-    """Array of the nodes of an array of blocks and of all below them, in pre-order."""
-    empty = F.array().cast(T.ArrayType(T.StructType([f for f in _NODE.fields if f.name in ("depth", "i", "j") or f.name in fields])))
-    names = [f.name for f in _NODE.fields if f.name in fields and f.name not in ("depth", "i", "j")]
 
-    def one(b: Column, j: Column) -> Column:
-        node = F.array(F.struct(F.lit(depth).alias("depth"), i.cast("int").alias("i"), j.cast("int").alias("j"), *[b[n].alias(n) for n in names]))
-        if levels > 1:
-            none = F.array().cast(T.ArrayType(block_type(levels - 1, fields)))
-            items = F.coalesce(b["items"], none)
-            groups = F.concat(items, F.when(b["children"].isNotNull(), F.array(b["children"])).otherwise(none))  # children are one more group, as item 0
-            node = F.concat(node, F.flatten(F.transform(groups, lambda g, k: _preorder(g, levels - 1, depth + 1, F.when(k < F.size(items), k).otherwise(0), fields))))
-        return F.when(b.isNotNull(), node).otherwise(empty)
+def _bool(v: object) -> bool | None:
+    return v if isinstance(v, bool) else None
 
-    return F.coalesce(F.flatten(F.transform(blocks, one)), empty)
 
+def _spans(v: object) -> list | None:
+    if not isinstance(v, list):
+        return None
+    return [{"t": _string(s.get("t")), "c": _bool(s.get("c")), "b": _bool(s.get("b")), "i": _bool(s.get("i")), "h": _string(s.get("h"))} if isinstance(s, dict) else None for s in v]
 
-def depth_of(t: T.DataType) -> int:
-    """Levels of blocks in a merged schema."""
-    if not (isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType)):
-        return 0
-    kinds = {f.name: f.dataType for f in t.elementType.fields}
-    items = kinds.get("items")
-    return 1 + max(depth_of(kinds.get("children")), depth_of(items.elementType) if isinstance(items, T.ArrayType) else 0)
 
+_READ = {
+    **dict.fromkeys(("type", "anchor", "text", "lang"), _string), **dict.fromkeys(("ordered", "header"), _bool),
+    "level": lambda v: v if isinstance(v, int) and not isinstance(v, bool) and abs(v) < 1 << 31 else None,
+    "spans": _spans, "rows": lambda v: [[_string(c) for c in r] if isinstance(r, list) else None for r in v] if isinstance(v, list) else None,
+}
 
-def _read(blocks: str, kind: T.ArrayType) -> Column:
-    """A column of JSON texts by a type, null where it doesn't hold an array: an object alone would be read as an array of it."""
-    return F.when(F.col(blocks).rlike(r"^\s*\["), F.from_json(blocks, kind))
 
+def tree(text: str | None) -> list[tuple[int | None, int, int, int, dict]]:
+    """(parent's place, depth, i, j, block) of all blocks of a JSON text, in pre-order, which is their place.
 
-def _levels(text: str | None) -> int:
-    """Levels of blocks in a JSON text; 0 for what isn't an array of blocks or is malformed."""
+    Each array level is opened in turn and hands its rows' key down to the next: items by (i, j), children by (0, j).
+    """
     try:
-        now, n = _JSON.raw_decode((text or "").lstrip())[0], 0
+        top = _JSON.raw_decode((text or "").lstrip())[0]
     except (ValueError, RecursionError):
-        return 0
-    while blocks := [b for b in now if isinstance(b, dict)] if isinstance(now, list) else []:
-        n += 1
-        groups = [b.get("children") for b in blocks]
-        for b in blocks:
-            groups += b["items"] if isinstance(b.get("items"), list) else []
-        now = [b for g in groups if isinstance(g, list) for b in g]
-    return n
-
-
-_JSON = json.JSONDecoder(strict=False)
+        return []
+    out: list = []
+    stack = [(None, 0, 0, j, b) for j, b in reversed(list(enumerate(top))) if isinstance(b, dict)] if isinstance(top, list) else []
+    while stack:
+        row = stack.pop()
+        me, depth, b = len(out), row[1] + 1, row[4]
+        out.append(row)
+        groups = [(i, g) for i, g in enumerate(b["items"])] if isinstance(b.get("items"), list) else []
+        if isinstance(b.get("children"), list):
+            groups.append((0, b["children"]))
+        if groups:
+            below = [(me, depth, i, j, c) for i, g in groups if isinstance(g, list) for j, c in enumerate(g) if isinstance(c, dict)]
+            stack += reversed(below)
+    return out
 
 
-def _most_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _open(batches: Iterator[pa.RecordBatch], fields: list[str]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([max(map(_levels, rb.column(0).to_pylist()), default=0)], pa.int32())], ["n"])
-
-
-def block_levels(docs: DataFrame) -> int:
-    """The most levels of blocks in any document, 1 at least, by a distributed maximum.
-
-    Each document counts by itself, so that one of another form hides nothing of the others.
-    """
-    return max(1, docs.select("blocks").mapInArrow(_most_levels, "n int").agg(F.max("n").alias("n")).first()["n"] or 0)
+        trees = [tree(t) for t in rb.column("blocks").to_pylist()]
+        nodes = [n for t in trees for n in t]
+        ends = np.cumsum([0, *map(len, trees)]).astype(np.int32)
+        made = [pa.array([n[k] for n in nodes], pa.int32()) for k in range(4)]
+        made += [pa.array([_READ[f](n[4].get(f)) for n in nodes], _FIELDS[f]) for f in fields]
+        flat = pa.StructArray.from_arrays(made, ["owner_ord", "depth", "i", "j", *(f"_{f}" for f in fields)])
+        keep = [rb.column(c) for c in ("id", "indexed_at", "arrived_at")]
+        yield pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "indexed_at", "arrived_at", "nodes"])
 
 
-def block_rows(docs: DataFrame, fields: list[str] | None = None, schema: T.DataType | None = None) -> DataFrame:
+def block_rows(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """One row per block of the current documents: id, ord, owner_ord, depth, i, j and the block's fields.
 
-    ord is the place in the pre-order walk, owner_ord that of the parent (null for a top-level block), i the item's number
-    (0 in a quote and at the top), j the place within. Documents with null, malformed or empty blocks, or with something
-    else than an array, have no rows; a field of another kind than its own is null in its block alone, whatever stands in
-    others; null blocks are skipped but keep their place; rows of unequal length and absent fields are kept as they are. ``fields``
-    names the block's fields to carry (all of them if None), so that no more than these are shuffled, once, by id.
+    ord is the place in the pre-order walk and the block's surrogate key, owner_ord that of the parent (null for a
+    top-level block), i the item's number (0 in a quote and at the top), j the place within. Documents with null, malformed
+    or empty blocks, or with something else than an array, have no rows; a field of another kind than its own is null in
+    its block alone, whatever stands in others, but scalars are read as text where text is wanted; null blocks are skipped
+    but keep their place; rows of unequal length and absent fields are kept as they are. ``fields`` names the block's
+    fields to carry (all of them if None), so that no more than these are shuffled, once, by id. Blocks may nest to any
+    depth: a document is opened where it is read, and the row's type is the same at each level.
     """
-    fields = [f.name for f in _NODE.fields[3:]] if fields is None else fields
-    deep = max(1, depth_of(schema)) if schema else block_levels(docs)
-    rows = docs.select("id", "indexed_at", "arrived_at", _preorder(_read("blocks", block_type(deep, fields)), deep, 0, F.lit(0), fields).alias("nodes"))
-    now = latest(rows, ["nodes"])
-    each = now.select("id", F.posexplode("nodes").alias("ord", "n")).select("id", "ord", "n.*")
-    if deep < 2:
-        owner = F.lit(None).cast("int")
-        return each.select("id", "ord", owner.alias("owner_ord"), "depth", "i", "j", *fields)
-    so_far = W.partitionBy("id").orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
-    last = [F.max(F.when(F.col("depth") == k, F.col("ord"))).over(so_far) for k in range(deep - 1)]
-    owner = F.coalesce(*[F.when(F.col("depth") == k + 1, c) for k, c in enumerate(last)])
-    return each.select("id", "ord", owner.alias("owner_ord"), "depth", "i", "j", *fields)
+    fields = list(_FIELDS) if fields is None else fields
+    node = ",".join(["owner_ord:int", "depth:int", "i:int", "j:int", *(f"_{f}:{_SQL[f]}" for f in fields)])
+    rows = docs.select("id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("indexed_at", "arrived_at")], "blocks")
+    opened = rows.mapInArrow(lambda it: _open(it, fields), f"id string, indexed_at long, arrived_at long, nodes array<struct<{node}>>")
+    each = latest(opened, ["nodes"]).select("id", F.posexplode("nodes").alias("ord", "n"))
+    return each.select("id", "ord", *[F.col(f"n.{c}").alias(c) for c in ("owner_ord", "depth", "i", "j")], *[F.col(f"n._{f}").alias(f) for f in fields])
 
 
 def span_rows(blocks: DataFrame) -> DataFrame:

@@ -142,6 +142,17 @@ def test_an_odd_record_removes_nothing_of_others(spark, odd):
     assert nested.nested_places(docs).filter("kind = 'block'").count() == 2
 
 
+def test_blocks_forty_levels_deep(spark):
+    block = {"type": "paragraph", "spans": [{"t": "deep", "h": "u"}]}
+    for k in range(40):
+        block = {"type": "quote", "children": [block]} if k % 2 else {"type": "list", "items": [[], [block]]}
+    at = datetime(2026, 1, 1)
+    docs = spark.createDataFrame([("d", at, at, json.dumps([block]))], "id string, indexed_at timestamp, arrived_at timestamp, blocks string")
+    got = [(r["ord"], r["owner_ord"], r["depth"], r["i"]) for r in nested.block_rows(docs, ["spans"]).orderBy("ord").collect()]
+    assert got == [(k, k - 1 if k else None, k, 0 if k % 2 or not k else 1) for k in range(41)]
+    assert [(r["owner_ord"], r["j"]) for r in nested.nested_places(docs).filter("kind = 'link'").collect()] == [(40, 0)]
+
+
 def test_stream(spark, tmp_path):
     from docloom.streaming import ingest
 
