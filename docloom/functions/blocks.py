@@ -39,6 +39,18 @@ def walk(blocks: list) -> Iterator[tuple[int, int, dict]]:
             stack += reversed(below)
 
 
+def bare(value: object) -> object:
+    """A JSON value without what says nothing: null, false, empty texts, arrays and objects as fields. Elements of arrays stay."""
+    if isinstance(value, dict):
+        return {k: v for k, v in ((k, bare(v)) for k, v in value.items()) if v not in (None, False, "", [], {})}
+    return [bare(v) for v in value] if isinstance(value, list) else value
+
+
+def canonical(text: str | None) -> str:
+    """The blocks in one form, whatever the layout of their JSON: bare, keys in order, without white space."""
+    return json.dumps(bare(parse_blocks(text)), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
 def spans_text(b: dict) -> str:
     """The texts of a block's spans, joined without a separator."""
     spans = b.get("spans")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a robots.txt that are read, and the longest delay that is honoured, in seconds.
 LIMIT, MOST_DELAY = 512 * 1024, 30.0
@@ -37,45 +41,33 @@ def pattern_regex(pattern: str) -> str:
     return "^" + body + ("$" if end else "")
 
 
+_RECORD = re.compile(r"\s*([^:#]*?)\s*:\s*([^#]*?)\s*(?:#.*)?")
+
+
 def parse(text: str | None, token: str) -> Rules:
     """The rules of the group for ``token``: the longest agent name contained in it, else the first ``*`` group.
 
-    Consecutive user-agent lines share a group; groups of the same agent aren't merged, the first one holds; a line
-    without a colon ends nothing; an empty Disallow says nothing.
+    The text is read as records (name, value); runs of user-agent records and what follows each are its groups. Groups of
+    the same agent aren't merged, the first one holds; lines that are no records end nothing; an empty value says nothing.
     """
-    groups: list[tuple[list[str], Rules]] = []
-    open_agents = False
-    for line in (text or "").encode()[:LIMIT].decode(errors="replace").splitlines():
-        line = line.split("#", 1)[0].strip()
-        if ":" not in line:
-            continue
-        name, value = (x.strip() for x in line.split(":", 1))
-        name = name.lower()
-        if name == "user-agent":
-            if not open_agents:
-                groups.append(([], Rules()))
-            groups[-1][0].append(value.lower())
-            open_agents = True
-            continue
-        open_agents = False
-        if not groups:
-            continue
-        now = groups[-1][1]
-        if name in ("allow", "disallow") and value:
-            now.rules.append((name == "allow", value))
-        elif name == "crawl-delay":
-            try:
-                now.crawl_delay = max(0.0, float(value))
-            except ValueError:
-                pass
-    best, length = None, -1
-    for agents, rules in groups:
-        for a in agents:
-            if a == "*" and best is None:
-                best, length = rules, 0
-            elif a != "*" and a and a in token.lower() and len(a) > length:
-                best, length = rules, len(a)
-    return best or Rules()
+    lines = (text or "").encode()[:LIMIT].decode(errors="replace").splitlines()
+    records = [(m[1].lower(), m[2]) for m in map(_RECORD.fullmatch, lines) if m]
+    runs = [(named, list(run)) for named, run in groupby(records, lambda r: r[0] == "user-agent")]
+    following = [body for _, body in runs[1:]] + [[]]
+    groups = [([v.lower() for _, v in run], body) for (named, run), body in zip(runs, following) if named]
+
+    def fit(group: tuple[list[str], list]) -> int:
+        """Length of the longest name that the token has, 0 for a group of all agents, -1 for one of others."""
+        return max([len(a) for a in group[0] if a not in ("", "*") and a in token.lower()], default=0 if "*" in group[0] else -1)
+
+    chosen = max(groups, key=fit, default=([], []))
+    if fit(chosen) < 0:
+        return Rules()
+    delays = [float(v) for name, v in chosen[1] if name == "crawl-delay" and _NUMBER.fullmatch(v)]
+    return Rules([(name == "allow", v) for name, v in chosen[1] if name in ("allow", "disallow") and v], delays[-1] if delays else 0.0)
+
+
+_NUMBER = re.compile(r"\d+(?:\.\d*)?|\.\d+")
 
 
 def for_response(status: int | None, body: str | None, token: str) -> Rules:
@@ -102,13 +94,31 @@ def rule_rows(responses: DataFrame, token: str) -> DataFrame:
     return responses.select("origin", "status", "body").mapInPandas(run, "origin string, allow boolean, pattern string, length int, regex string, crawl_delay double, disallow_all boolean")
 
 
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    compiled: dict[str, re.Pattern] = {}
+    for rb in batches:
+        out = []
+        for path, rules, ban in zip(*(rb.column(c).to_pylist() for c in ("_path", "_rules", "_ban"))):
+            best = None
+            for r in () if ban or path is None else rules or ():
+                if r["regex"] not in compiled:
+                    compiled[r["regex"]] = re.compile(r["regex"], re.DOTALL)
+                if (best is None or (r["length"], r["allow"]) > best) and compiled[r["regex"]].match(path):
+                    best = r["length"], r["allow"]
+            out.append(path == "/robots.txt" or not ban and (best is None or best[1]))
+        keep = [c for c in rb.schema.names if c not in ("_path", "_rules", "_ban")]
+        yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), pa.array(out, pa.bool_())], [*keep, "allowed"])
+
+
 def decide(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """urls with ``allowed``: by origin, the longest matching pattern, Allow before Disallow; unknown origins allow all."""
+    """urls with ``allowed``: by origin, the longest matching pattern, Allow before Disallow; unknown origins allow all.
+
+    An origin's rules are one array: a robots.txt of LIMIT bytes bounds it. Each pattern is compiled once in a task.
+    """
     path = F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^#]*)", 1)
     path = F.when(path == "", "/").when(path.startswith("?"), F.concat(F.lit("/"), path)).otherwise(path)
     known = rules.groupBy("origin").agg(F.collect_list(F.when(F.col("pattern").isNotNull(), F.struct("length", "allow", "regex"))).alias("_rules"), F.max("disallow_all").alias("_ban"))
     joined = urls.withColumn("_path", path).withColumn("_origin", F.lower(F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]*)", 1)))
-    joined = joined.join(known.withColumnRenamed("origin", "_origin"), "_origin", "left")
-    hit = F.array_max(F.transform(F.filter("_rules", lambda r: F.regexp_like(F.col("_path"), r["regex"])), lambda r: F.struct(r["length"], r["allow"])))
-    allowed = F.when(F.col("_path") == "/robots.txt", True).when(F.coalesce("_ban", F.lit(False)), False).otherwise(F.coalesce(hit["allow"], F.lit(True)))
-    return joined.withColumn("allowed", allowed).drop("_path", "_origin", "_rules", "_ban")
+    joined = joined.join(known.withColumnRenamed("origin", "_origin"), "_origin", "left").drop("_origin").withColumn("_ban", F.coalesce("_ban", F.lit(False)))
+    schema = T.StructType([*urls.schema.fields, T.StructField("allowed", T.BooleanType())])
+    return joined.select(*urls.columns, "_path", "_rules", "_ban").mapInArrow(_judge, schema)

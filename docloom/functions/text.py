@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from docloom.functions.blocks import MAX_TOKEN
+from docloom.functions.blocks import MAX_TOKEN, canonical
 
 # The words that are never indexed.
 STOP_WORDS = ("a", "an", "are", "be", "by", "into", "of", "on", "such", "that", "the", "their", "there", "these", "they", "this", "to", "was", "were", "will")
@@ -40,9 +42,14 @@ def document_id(source_id: Column | str, url: Column | str) -> Column:
     return F.substring(F.sha2(F.concat(col(source_id), F.lit("\0"), col(url)), 256), 1, 16)
 
 
+@F.pandas_udf(StringType())
+def _canonical(blocks: pd.Series) -> pd.Series:
+    return blocks.map(canonical)
+
+
 def content_hash(blocks: Column | str) -> Column:
-    """SHA-256 of the blocks' JSON: equal blocks have equal hashes."""
-    return F.sha2(F.coalesce(col(blocks), F.lit("[]")), 256)
+    """SHA-256 of the blocks: equal blocks have equal hashes, whatever the layout of their JSON. Null counts as no blocks."""
+    return F.sha2(_canonical(col(blocks)), 256)
 
 
 def collapse(text: Column | str) -> Column:

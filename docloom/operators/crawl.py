@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from docloom.functions import html, robots, text, urls
 from docloom.functions.config import Settings, Source, boundary
+from docloom.operators.indexing import dense_order
 from docloom.session import cut
 
 #: Redirects followed from one URL, and error samples kept for a source.
@@ -101,8 +102,8 @@ def crawl(source: Source, pages: DataFrame, robots_responses: DataFrame | None =
             break
         good = fresh.filter((F.col("why") == "") & ~urls.non_html_col("link"))
         order = F.min(F.struct("place", "n"))
-        next_level = good.groupBy(F.col("link").alias("url")).agg(order.alias("o")).select("url", (F.col("o.place") * 100_000 + F.col("o.n")).alias("place"))
-        frontier = cut(next_level)
+        found = cut(good.groupBy(F.col("link").alias("url")).agg(order.alias("o")).select("url", "o.place", "o.n"))
+        frontier = cut(dense_order(found, order=("place", "n", "url")).select("url", F.col("idx").cast("long").alias("place")))
         seen = cut(seen.unionByName(frontier.select("url")))
         depth += 1
     if log is None:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from docloom.functions import text
-from docloom.operators.nested import block_rows
+from docloom.functions.blocks import parse_blocks, spans_text, walk
 from docloom.sources.tables import latest
 
 WEIGHTS = {"title": 6, "heading": 3, "body": 1}
@@ -26,36 +28,52 @@ class Index:
     stats: DataFrame
 
 
+def split_fields(blocks: str | None) -> tuple[str, str, str]:
+    """(headings, body, plain) of one document's blocks."""
+    heads, body, plain = [], [], []
+    for _, _, b in walk(parse_blocks(blocks)):
+        kind = b.get("type")
+        if kind == "heading":
+            heads.append(spans_text(b))
+        elif kind == "paragraph":
+            body.append(spans_text(b))
+            plain.append(body[-1])
+        elif kind == "code":
+            body.append(b["text"] if isinstance(b.get("text"), str) else "")
+        elif kind == "table":
+            body += [" ".join([c for c in r if isinstance(c, str)]) for r in b.get("rows") or () if isinstance(r, list)]
+    return " ".join(heads), " ".join(body), " ".join(plain)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        got = [split_fields(b) for b in rb.column("blocks").to_pylist()]
+        keep = [c for c in rb.schema.names if c != "blocks"]
+        yield pa.RecordBatch.from_arrays([*(rb.column(c) for c in keep), *(pa.array([g[k] for g in got], pa.string()) for k in range(3))], [*keep, "headings", "body", "plain"])
+
+
+def with_fields(docs: DataFrame) -> DataFrame:
+    """docs with headings, body and plain in place of blocks, split where they are read."""
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "blocks"), "headings string, body string, plain string"])
+    return docs.mapInArrow(_split, schema)
+
+
 def field_texts(docs: DataFrame) -> DataFrame:
     """(id, headings, body, plain): the current documents' texts by field, each joined in document order.
 
     Headings; paragraphs, code and table rows (cells joined by a space) as body; paragraphs alone, those in lists and
     quotes included, as plain text. Documents without blocks have empty texts.
     """
-    b = block_rows(docs, ["type", "text", "spans", "rows"])
-    own = text.spans_text(F.coalesce("spans", F.array().cast("array<struct<t:string,c:boolean,b:boolean,i:boolean,h:string>>")))
-    cells = F.array_join(F.transform(F.coalesce("rows", F.array().cast("array<array<string>>")), lambda r: F.array_join(r, " ")), " ")
-    kind = F.col("type")
-    rows = b.select(
-        "id", "ord",
-        F.when(kind == "heading", own).alias("h"),
-        F.when(kind == "paragraph", own).when(kind == "code", F.coalesce("text", F.lit(""))).when(kind == "table", cells).alias("b"),
-        F.when(kind == "paragraph", own).alias("p"),
-    )
-
-    def in_order(c: str) -> Column:
-        return F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("ord", c)))), lambda x: x[c]), " ")
-
-    joined = rows.groupBy("id").agg(in_order("h").alias("headings"), in_order("b").alias("body"), in_order("p").alias("plain"))
-    current = latest(docs.select("id", "indexed_at", "arrived_at"), []).select("id")
-    return current.join(joined, "id", "left").na.fill("", ["headings", "body", "plain"])
+    rows = docs.select("id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("indexed_at", "arrived_at")], "blocks")
+    return latest(with_fields(rows), ["headings", "body", "plain"])
 
 
 def index_documents(docs: DataFrame) -> DataFrame:
     """(doc, source_id, title, url, summary, headings, body) of the current documents, ready for build_index."""
-    now = latest(docs.select("id", "source_id", "title", "url", "description", "indexed_at", "arrived_at"), ["source_id", "title", "url", "description"])
-    t = field_texts(docs)
-    return now.join(t, "id").select(F.col("id").alias("doc"), "source_id", "title", "url", text.summary("description", "plain").alias("summary"), "headings", "body")
+    own = ["source_id", "title", "url", "description"]
+    rows = docs.select("id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("indexed_at", "arrived_at")], *own, "blocks")
+    now = latest(with_fields(rows), [*own, "headings", "body", "plain"])
+    return now.select(F.col("id").alias("doc"), "source_id", "title", "url", text.summary("description", "plain").alias("summary"), "headings", "body")
 
 
 def weighted_postings(docs: DataFrame, fields: dict[str, int], key: str = "doc") -> DataFrame:
@@ -96,12 +114,11 @@ def build_index(docs: DataFrame, key: str = "doc") -> Index:
     return Index(postings, document_frequency(postings), sized, statistics(sized))
 
 
-def dense_order(docs: DataFrame, spread: int | None = None) -> DataFrame:
-    """docs with ``idx``, their 0-based place in the order (source_id, title, url).
+def dense_order(docs: DataFrame, spread: int | None = None, order: tuple[str, ...] = ("source_id", "title", "url")) -> DataFrame:
+    """docs with ``idx``, their 0-based place in the order of the columns ``order``.
 
     Range partitions are numbered within themselves and offset by the sizes of those before, so no task sorts all rows.
     """
-    order = ["source_id", "title", "url"]
     n = spread or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = docs.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
     local = parts.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))

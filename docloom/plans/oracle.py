@@ -68,15 +68,19 @@ SELECT qt, term, df, 1.0::DOUBLE AS factor FROM hit WHERE term = qt UNION ALL SE
         "posting_lists": f"WITH {_INDEX} SELECT term, CAST(2 * count(*) AS INT) AS n, string_agg(doc || ',' || tf, ',' ORDER BY doc) AS list FROM p GROUP BY term",
         "current_docs": f"WITH {CURRENT} SELECT id, source_id, url, title, indexed_at FROM cur",
         "document_ids": f"WITH {CURRENT} SELECT id, left(sha256(source_id || chr(0) || url), 16) AS made FROM cur",
-        "content_dedup": f"WITH {CURRENT} SELECT id, source_id, url FROM (SELECT *, row_number() OVER (PARTITION BY source_id, coalesce(blocks, '[]') ORDER BY indexed_at, url, id) AS k FROM cur WHERE source_id IS NOT NULL) WHERE k = 1",
+        "content_dedup": f"""WITH RECURSIVE {CURRENT}, {NODES},
+part AS (SELECT id, path, concat_ws(chr(31), CAST(path AS VARCHAR), {", ".join(f"nullif(nullif(json_extract_string(b, '$.{f}'), ''), 'false') || '{f}'" for f in ("type", "level", "anchor", "text", "lang", "ordered", "header"))},
+  array_to_string([concat_ws(chr(30), {", ".join(f"nullif(nullif(json_extract_string(b, '$.spans[' || k || '].{f}'), ''), 'false') || '{f}'" for f in "tcbih")}) FOR k IN range(CAST(coalesce(json_array_length(b, '$.spans'), 0) AS BIGINT))], chr(29)), CAST(json(json_extract(b, '$.rows')) AS VARCHAR)) AS s FROM ords),
+whole AS (SELECT id, string_agg(s, chr(28) ORDER BY path) AS h FROM part GROUP BY id)
+SELECT id, source_id, url FROM (SELECT cur.id, source_id, url, row_number() OVER (PARTITION BY source_id, coalesce(h, '') ORDER BY indexed_at, url, cur.id) AS k FROM cur LEFT JOIN whole USING (id) WHERE source_id IS NOT NULL) WHERE k = 1""",
         "summaries": r"""WITH s AS (SELECT doc_id, trim(regexp_replace(coalesce("text", ''), '\s+', ' ', 'g')) AS t FROM documents),
 h AS (SELECT doc_id, t, left(t, 240) AS head, regexp_extract(left(t, 240), '(?s)^(.*) ', 1) AS before FROM s)
 SELECT doc_id, CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(CASE WHEN contains(head, ' ') AND octet_length(encode(before)) > 120 THEN before ELSE head END, '[ ,.;:]+$', '') || '…' END AS summary FROM h""",
         "title_suffixes": _suffixes() + " SELECT source_id, suffix FROM best",
         "short_titles": _suffixes() + " SELECT i.idx, trim(CASE WHEN suffix IS NOT NULL AND ends_with(coalesce(title, ''), suffix) AND length(coalesce(title, '')) > length(suffix) THEN left(title, length(title) - length(suffix)) ELSE coalesce(title, '') END) AS short_title FROM i LEFT JOIN best USING (source_id)",
-        "resolve_links": f"""WITH {CURRENT}, first AS (SELECT url, arg_min(id, (source_id, coalesce(title, ''), id)) AS target FROM cur WHERE url IS NOT NULL GROUP BY url),
-l AS (SELECT id, CAST(unnest(range(len(h))) AS INT) AS place, unnest(h) AS href FROM (SELECT id, regexp_extract_all(blocks, '"h": ?"([^"]+)"', 1) AS h FROM cur))
-SELECT l.id, place, href, target, CASE WHEN target IS NOT NULL THEN nullif(regexp_extract(href, '#(.*)$', 1), '') END AS anchor FROM l LEFT JOIN first ON first.url = regexp_extract(href, '^([^#]*)', 1)""",
+        "resolve_links": f"""WITH RECURSIVE {CURRENT}, {NODES}, first AS (SELECT url, arg_min(id, (source_id, coalesce(title, ''), id)) AS target FROM cur WHERE url IS NOT NULL GROUP BY url),
+l AS (SELECT id, ord, span, json_extract_string(b, '$.spans[' || span || '].h') AS href FROM (SELECT id, ord, b, CAST(unnest(range(CAST(coalesce(json_array_length(b, '$.spans'), 0) AS BIGINT))) AS INT) AS span FROM ords))
+SELECT l.id, ord, span, href, target, CASE WHEN target IS NOT NULL THEN nullif(regexp_extract(href, '#(.*)$', 1), '') END AS anchor FROM l LEFT JOIN first ON first.url = regexp_extract(href, '^([^#]*)', 1) WHERE href IS NOT NULL""",
         "sources_overview": "SELECT id, coalesce(name, id) AS name, status, document_count, pages_fetched, pages_skipped, errors, CAST(coalesce(len(error_samples), 0) AS INT) AS samples, array_to_string(start_urls, ' ') AS start_urls, indexed_at FROM source_manifest",
         "source_status": "SELECT id, CASE WHEN document_count = 0 THEN 'failed' WHEN errors > 0 THEN 'partial' ELSE 'ok' END AS made, CAST(list_reduce(list_prepend(0::BIGINT, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(id, '')]), lambda a, c: (a * 31 + c) % 4294967296) % 8 AS INT) AS slot FROM source_manifest",
         "relative_times": """WITH a AS (SELECT doc_id, epoch(TIMESTAMP '2026-09-01') - floor(epoch(indexed_at)) AS s FROM documents),

@@ -186,14 +186,15 @@ def browse_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _crawled(spark, sf_dir, "source_id", "url", "title", "blocks")
-    return d.select("id", F.posexplode(F.regexp_extract_all("blocks", F.lit(r'"h": ?"([^"]+)"'), F.lit(1))).alias("place", "href"))
+    """(id, ord, span, href): the links of the current documents."""
+    spans = nested.span_rows(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["spans"]))
+    return spans.filter("h IS NOT NULL").select("id", "ord", F.col("place").alias("span"), F.col("h").alias("href"))
 
 
 @query
 def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _crawled(spark, sf_dir, "source_id", "url", "title")
-    return portal.resolve_links(_links(spark, sf_dir), docs).select("id", "place", "href", "target", "anchor")
+    return portal.resolve_links(_links(spark, sf_dir), docs).select("id", "ord", "span", "href", "target", "anchor")
 
 
 @query

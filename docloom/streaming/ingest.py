@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.functions import html, text
+from docloom.operators.indexing import WEIGHTS, weighted_postings, with_fields
 
 
 def page_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -15,8 +16,9 @@ def page_stream(spark: SparkSession, path: str) -> DataFrame:
 
 
 def extract_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Write the extracted documents of a page stream to Parquet, each page once."""
-    content = html.extract(pages)
+    """Write the extracted documents of a page stream to Parquet; a page that arrives again within a day, with the same
+    HTML and arrived_at, is written once."""
+    content = html.extract(pages.withWatermark("arrived_at", "1 day").dropDuplicatesWithinWatermark(["url", "html", "arrived_at"]))
     return content.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -27,14 +29,15 @@ def arrivals(pages: DataFrame, window: str = "1 hour", late: str = "1 day") -> D
 
 
 def index_stream(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of term counts per document: each micro-batch adds a folder of its own, named by its number.
+    """Keep a table of weighted term counts per document: each micro-batch adds a folder of its own, named by its number.
 
     A batch that is run again replaces its folder, so every page counts once; readers take the latest batch of an id.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         got = html.extract(batch.select("url", "html").dropDuplicates(["url"])).join(batch.select("url", "source_id").dropDuplicates(["url"]), "url")
-        docs = got.select(text.document_id("source_id", "url").alias("doc"), "source_id", "url", "title", F.explode(text.index_tokens("blocks")).alias("term"))
-        docs.groupBy("doc", "source_id", "url", "title", "term").agg(F.count(F.lit(1)).alias("tf")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        docs = with_fields(got.select(text.document_id("source_id", "url").alias("doc"), "source_id", "url", "title", "blocks"))
+        terms = weighted_postings(docs, {"title": WEIGHTS["title"], "headings": WEIGHTS["heading"], "body": WEIGHTS["body"]})
+        terms.join(docs.select("doc", "source_id", "url", "title"), "doc").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return pages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
