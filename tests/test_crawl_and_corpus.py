@@ -4,40 +4,49 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import text
 from docloom.functions.config import Source
 from docloom.functions.html import Page
 from docloom.operators import crawl, indexing, nested, search
 from docloom.sources import corpus
 
-BASE = "https://site.test"
-LINKS = ["/docs/guide.html", "/docs/api.html", "/docs/secret/hidden.html", "/blog/post", "http://outside.invalid/docs/", "/docs/manual.pdf", "/docs/download", "/docs/redirect-out", "/docs/redirect-in", "/docs/missing.html", "/docs/copy.html", "/docs/noindex.html", "/docs/guide.html?utm_source=x#install"]
+BASE = "https://club.example"
 
 
-def page(title, body, links=(), head=""):
-    return f"<html><head><title>{title}</title>{head}</head><body><main><h1>{title}</h1><p>{body}</p>" + "".join(f'<a href="{h}">x</a> ' for h in links) + "</main></body></html>"
+def page(title, text, links=(), head=""):
+    return f"<title>{title}</title>{head}<main><h2>{title}</h2><p>{text}</p><ul>" + "".join(f'<li><a href="{h}">{h}</a>' for h in links) + "</ul></main>"
 
 
-GUIDE = "<main><h1>Guide</h1><p>How to frobnicate: use the frobnicator.</p><pre class='language-sh'>frob install</pre></main>"
+TWINS = page("Twins", "Two pages say the same words.")
+SITE = {
+    "/garden/": (200, "text/html", None, page("Garden", "All beds of the club.", ["beds/roses", "beds/tulips", "shed/tools", "photos/gate.jpg", "/forum/", "old-gate", "way-out", "twin-a", "twin-b", "gone", "quiet", "list.bin", "beds/roses?utm_campaign=may#top"])),
+    "/garden/beds/roses": (200, "text/html", None, page("Roses", "Red and white ones.", ["/garden/beds/lilies"])),
+    "/garden/beds/tulips": (200, "text/html; charset=utf-8", None, page("Tulips", "Planted in October.")),
+    "/garden/beds/lilies": (200, "text/html", None, page("Lilies", "Near the pond.")),
+    "/garden/shed/tools": (200, "text/html", None, page("Tools", "Not for guests.")),
+    "/garden/old-gate": (301, None, "beds/lilies", None),
+    "/garden/way-out": (302, None, "/forum/", None),
+    "/forum/": (200, "text/html", None, page("Forum", "Talk.")),
+    "/garden/twin-a": (200, "text/html", None, TWINS),
+    "/garden/twin-b": (200, "text/html", None, TWINS),
+    "/garden/quiet": (200, "text/html", None, page("Quiet", "Not to be listed.", ["/garden/beyond"], "<meta name=robots content=noindex>")),
+    "/garden/beyond": (200, "text/html", None, page("Beyond", "Found through a quiet page.")),
+    "/garden/list": (200, "application/pdf", None, "%PDF"),
+    **{f"/path/{k}": (200, "text/html", None, page(f"Stone {k}", f"Stone {k} of the path.", [f"/path/{k + 1}", "/path/0"])) for k in range(30)},
+}
 
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    ok = lambda u, h, k="text/html": (BASE + u, 200, k, None, h)
-    rows = [
-        ok("/docs/", page("Home", "Welcome to the docs.", LINKS)), ok("/docs/guide.html", GUIDE), ok("/docs/copy.html", GUIDE), ok("/docs/api.html", page("API", "Calls and tables.")), ok("/docs/noindex.html", page("Hidden", "x", ["/docs/only-from-noindex.html"], "<meta name=robots content=noindex>")),
-        ok("/docs/only-from-noindex.html", page("Only", "Reached through a page that isn't indexed.")), ok("/docs/secret/hidden.html", page("Secret", "s")), ok("/docs/download", "binary", "application/octet-stream"),
-        (BASE + "/docs/redirect-out", 302, None, "/blog/elsewhere.html", None), (BASE + "/docs/redirect-in", 301, None, "/docs/api.html", None), ok("/blog/elsewhere.html", page("Blog", "b")),
-    ]
-    rows += [ok(f"/many/p{n}.html", page(f"P{n}", f"page {n} of the tree", [f"/many/p{n}1.html", f"/many/p{n}2.html"])) for n in ["", *[a + b for a in ("1", "2") for b in ("", "1", "2")]]]
-    return spark.createDataFrame(rows, "url string, status int, content_type string, redirect_to string, html string").cache()
+    return spark.createDataFrame([(BASE + u, *r) for u, r in SITE.items()], "url string, status int, content_type string, redirect_to string, html string").cache()
 
 
 def src(**kw):
-    return Source(**{"id": "docs", "name": "Docs", "start_urls": [BASE + "/docs/"], "allowed_prefixes": [BASE + "/docs/"], "max_pages": 50, **kw})
+    return Source(**{"id": "club", "name": "Club", "start_urls": [BASE + "/garden/"], "allowed_prefixes": [BASE + "/garden/"], "max_pages": 60, **kw})
 
 
 def answers(spark):
-    return spark.createDataFrame([(BASE, 200, "User-agent: *\nDisallow: /docs/secret/\n")], "origin string, status int, body string")
+    return spark.createDataFrame([(BASE, 200, "User-agent: *\nDisallow: /garden/shed/\n")], "origin string, status int, body string")
 
 
 def paths(got):
@@ -46,22 +55,36 @@ def paths(got):
 
 def test_crawl(spark, pages):
     got = crawl.crawl(src(), pages, answers(spark))
-    assert paths(got) in ({"/docs/", "/docs/api.html", "/docs/guide.html", "/docs/only-from-noindex.html"}, {"/docs/", "/docs/api.html", "/docs/copy.html", "/docs/only-from-noindex.html"})
+    assert paths(got) == {"/garden/", "/garden/beds/roses", "/garden/beds/tulips", "/garden/beds/lilies", "/garden/twin-a", "/garden/beyond"}
     c = crawl.source_counts(got, src()).first()
-    assert c["errors"] > 0 and c["pages_skipped"] > 0 and c["out_of_scope"] > 0 and c["status"] == "partial" and c["document_count"] == 4
-    assert "/docs/manual.pdf" not in {r["url"].removeprefix(BASE) for r in got.log.collect()}
+    assert (c["document_count"], c["status"], c["out_of_scope"]) == (6, "partial", 1) and c["errors"] == 2  # gone, and the way out
+    log = {r["url"].removeprefix(BASE): r["outcome"] for r in got.log.collect()}
+    assert "/garden/photos/gate.jpg" not in log and "/garden/shed/tools" not in log and log["/garden/way-out"] == "refused" and log["/garden/gone"] == "error"
 
 
 def test_crawl_without_robots(pages):
-    assert {"/docs/secret/hidden.html", "/docs/noindex.html"} <= paths(crawl.crawl(src(), pages, None, respects_robots=False))
+    assert {"/garden/shed/tools", "/garden/quiet"} <= paths(crawl.crawl(src(), pages, None, respects_robots=False))
 
 
 def test_crawl_bounds(pages):
-    many = lambda **kw: crawl.crawl(src(start_urls=[BASE + "/many/p.html"], allowed_prefixes=[BASE + "/many/"], **kw), pages)
-    assert len(paths(many(max_pages=5))) == 5
-    assert len(paths(many(max_depth=1))) == 3
-    assert "/docs/api.html" not in {r["url"].removeprefix(BASE) for r in crawl.crawl(src(exclude_patterns=[r"api\.html$"]), pages).log.collect()}
-    assert paths(crawl.crawl(src(include_patterns=["/docs/$", "guide"]), pages)) == {"/docs/", "/docs/guide.html"}
+    stones = lambda **kw: crawl.crawl(src(start_urls=[BASE + "/path/0"], allowed_prefixes=[BASE + "/path/"], **kw), pages)
+    assert paths(stones(max_pages=4)) == {f"/path/{k}" for k in range(4)}
+    assert paths(stones(max_depth=2)) == {"/path/0", "/path/1", "/path/2"}
+    assert paths(crawl.crawl(src(exclude_patterns=["beds/"], max_depth=1), pages)) == {"/garden/", "/garden/shed/tools", "/garden/twin-a"}
+    assert paths(crawl.crawl(src(include_patterns=["/garden/$", "roses"]), pages)) == {"/garden/", "/garden/beds/roses"}
+
+
+def test_crawl_in_the_order_found_down_a_long_chain(pages):
+    """Places stay small however deep the chain is."""
+    log = crawl.crawl(src(start_urls=[BASE + "/path/0"], allowed_prefixes=[BASE + "/path/"], max_pages=12), pages).log
+    assert sorted((r["depth"], r["url"].removeprefix(BASE), r["place"]) for r in log.collect()) == [(k, f"/path/{k}", 0) for k in range(12)]
+
+
+def test_content_hash_of_other_layouts(spark):
+    same = ['[{"type":"paragraph","spans":[{"t":"a","h":null}],"items":[]}]', '[ {"spans": [ {"t": "a", "b": false} ], "type": "paragraph", "text": ""} ]']
+    rows = spark.createDataFrame([(b,) for b in [*same, '[{"type":"paragraph","spans":[{"t":"b"}]}]', None, "[]", "bad"]], "b string")
+    h = [r["h"] for r in rows.select(text.content_hash("b").alias("h")).collect()]
+    assert h[0] == h[1] != h[2] and h[3] == h[4] == h[5]
 
 
 def test_merge_and_fetch(spark, pages):
@@ -97,13 +120,13 @@ def test_html_extraction():
 
 def test_json_corpus(spark, tmp_path):
     at = datetime(2026, 1, 2, 3, 4, 5)
-    blocks = json.dumps([{"type": "paragraph", "spans": [{"t": "A loop repeats."}]}])
-    docs = spark.createDataFrame([(f"{k:016x}", "s", "S", f"https://x/{k}", f"Loop {k}", None, at, at, [], blocks) for k in range(3)], "id string, source_id string, source_name string, url string, title string, description string, indexed_at timestamp, arrived_at timestamp, headings array<struct<level:int,text:string,anchor:string>>, blocks string")
+    blocks = json.dumps([{"type": "paragraph", "spans": [{"t": "A hive hums."}]}])
+    docs = spark.createDataFrame([(f"{k:016x}", "s", "S", f"https://x/{k}", f"Hive {k}", None, at, at, [], blocks) for k in range(3)], "id string, source_id string, source_name string, url string, title string, description string, indexed_at timestamp, arrived_at timestamp, headings array<struct<level:int,text:string,anchor:string>>, blocks string")
     index = indexing.build_index(indexing.index_documents(docs))
     corpus.export_json(docs, index, {"sources": [{"name": "S", "id": "s"}]}, str(tmp_path / "new"))
     corpus.replace_dir(str(tmp_path / "new"), str(tmp_path / "corpus"))
     back = corpus.import_index(spark, str(tmp_path / "corpus" / "search-index.json"))
-    one, two = ([(r["doc"], round(r["score"], 6)) for r in search.search(i, "loop repeats").collect()] for i in (index, back))
+    one, two = ([(r["doc"], round(r["score"], 6)) for r in search.search(i, "hive hums").collect()] for i in (index, back))
     assert one == two and len(one) == 3
     read = corpus.read_json_documents(spark, str(tmp_path / "corpus"))
     assert read.count() == 3 and json.loads(read.first()["blocks"]) == json.loads(blocks)
@@ -113,7 +136,7 @@ def test_json_corpus(spark, tmp_path):
     with pytest.raises(corpus.CorpusError):
         corpus.read_json(str(tmp_path / "none.json"), "index")
     corpus.write_tables(index, str(tmp_path / "t"))
-    assert search.search(corpus.read_tables(spark, str(tmp_path / "t")), "loop").count() == 3
+    assert search.search(corpus.read_tables(spark, str(tmp_path / "t")), "hive").count() == 3
 
 
 def test_nested(spark):
@@ -160,6 +183,9 @@ def test_stream(spark, tmp_path):
     q = ingest.extract_stream(ingest.page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    q = ingest.index_stream(ingest.page_stream(spark, str(tmp_path / "in")), str(tmp_path / "index"), str(tmp_path / "cp2"))
+    q.awaitTermination(60)
+    assert {r["term"]: r["tf"] for r in spark.read.parquet(str(tmp_path / "index")).collect()} == {"hello": 1, "world": 1, "1": 6}
 
 
 def test_nothing_in_core_imports_llm():

@@ -1,4 +1,8 @@
+import collections
+import hashlib
 import json
+import math
+import re
 from datetime import datetime
 
 import pytest
@@ -8,12 +12,13 @@ from docloom.operators.nested import block_rows
 
 P = lambda t: {"type": "paragraph", "spans": [{"t": t}]}
 DOCS = [
-    ("alpha", "https://a.example/install", "Installation guide", [{"type": "heading", "level": 1, "anchor": "install", "spans": [{"t": "Installing the tool"}]}, P("Download the archive and run the installer."), {"type": "code", "text": "tool --install --prefix /opt"}]),
-    ("alpha", "https://a.example/config", "Configuration reference", [P("Every configuration option is described here. Options can also be set with environment variables."), {"type": "list", "items": [[P("timeout: request timeout")], [P("retries: retry count")]]}]),
-    ("beta", "https://b.example/loops", "Loops", [P("A for loop repeats a block of code. The while loop repeats while a condition holds."), {"type": "table", "header": True, "rows": [["Keyword", "Meaning"], ["break", "leave the loop"]]}]),
+    ("comb", "https://comb.example/wax", "Wax for the winter", [{"type": "heading", "level": 1, "anchor": "wax", "spans": [{"t": "Melting old wax"}]}, P("Warm the wax slowly and pour it through a cloth."), {"type": "code", "text": "melt --slow wax"}]),
+    ("comb", "https://comb.example/frames", "Frames", [P("A frame holds one sheet of wax. Frames are wired before the sheet goes in."), {"type": "list", "items": [[P("wire: steel wire")], [P("sheet: thin wax sheet")]]}]),
+    ("hive", "https://hive.example/winter", "Winter", [P("The hive sleeps in winter. A heavy hive needs no sugar; a light hive does."), {"type": "table", "header": True, "rows": [["Weight", "Sugar"], ["light", "two kilos"]]}]),
+    ("hive", "https://hive.example/queen", "The queen", [P("One queen lays all the eggs. Without a queen the hive dies in a winter.")]),
 ]
 SCHEMA = "id string, source_id string, source_name string, url string, title string, description string, indexed_at timestamp, arrived_at timestamp, headings array<struct<level:int,text:string,anchor:string>>, blocks string"
-CONFIG, INSTALL, LOOPS = "bea2854f3bec7451", "1a951a2d3cbea644", "6aa8a449d8f79c50"
+WAX, FRAMES, WINTER, QUEEN = (hashlib.sha256(f"{s}\0{u}".encode()).hexdigest()[:16] for s, u, *_ in DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -35,96 +40,140 @@ def index(docs):
     return got
 
 
+STOPS = set("a an are be by into of on such that the their there these they this to was were will".split())
+
+
+def counts():
+    """Weighted counts of each document by plain Python: title 6, heading 3, other text 1."""
+    out = {}
+    for doc, (_, _, title, blocks) in zip((WAX, FRAMES, WINTER, QUEEN), DOCS):
+        c = collections.Counter()
+
+        def add(t, w, c=c):
+            c.update({x: w * n for x, n in collections.Counter(x for x in re.findall(r"[a-z0-9]+", t.lower()) if x not in STOPS).items()})
+
+        def visit(bs, add=add):
+            for b in bs:
+                add("".join(s["t"] for s in b.get("spans", [])) + " " + b.get("text", "") + " " + " ".join(x for r in b.get("rows", []) for x in r), 3 if b["type"] == "heading" else 1)
+                for i in b.get("items", []):
+                    visit(i)
+
+        add(title, 6)
+        visit(blocks)
+        out[doc] = c
+    return out
+
+
+def ranked(query, sources=None):
+    """The ranking formula, document by document and term by term."""
+    tf, titles = counts(), {d: t.lower() for d, (_, _, t, _) in zip((WAX, FRAMES, WINTER, QUEEN), DOCS)}
+    lengths = {d: sum(c.values()) for d, c in tf.items()}
+    average, df = sum(lengths.values()) / len(tf), collections.Counter(t for c in tf.values() for t in c)
+    every = list(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))
+    terms = [t for t in every if t not in STOPS] or every
+    phrase, out = " ".join(query.lower().split()), {}
+    for d, c in tf.items():
+        best = []
+        for q in terms:
+            longer = sorted((t for t in df if t.startswith(q) and t != q), key=lambda t: (-df[t], t))[:30] if len(q) > 1 else []
+            scores = [f * math.log(1 + (len(tf) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * lengths[d] / average)) for t, f in [(q, 1.0), *((t, 0.5) for t in longer)] if c[t]]
+            best += [max(scores)] if scores else []
+        if best:
+            out[d] = sum(best) * (len(best) / len(terms)) ** 2 * (2 if titles[d] == phrase else 1.5 if len(terms) > 1 and phrase in titles[d] else 1)
+    source = {d: s for d, (s, *_) in zip((WAX, FRAMES, WINTER, QUEEN), DOCS)}
+    return {d: s for d, s in sorted(out.items(), key=lambda x: (-x[1], x[0])) if not sources or source[d] in sources}
+
+
 def test_index_table(index):
+    want = counts()
+    assert {(r["doc"], r["term"]): r["tf"] for r in index.postings.collect()} == {(d, t): n for d, c in want.items() for t, n in c.items()}
     rows = {r["doc"]: r for r in index.docs.collect()}
-    assert {k: r["length"] for k, r in rows.items()} == {CONFIG: 31, INSTALL: 27, LOOPS: 22}
-    assert rows[CONFIG]["summary"].endswith("timeout: request timeout retries: retry count")
-    assert index.terms.count() == 44
+    assert {d: r["length"] for d, r in rows.items()} == {d: sum(c.values()) for d, c in want.items()}
+    assert rows[FRAMES]["summary"].endswith("goes in. wire: steel wire sheet: thin wax sheet")
+    assert index.terms.count() == len({t for c in want.values() for t in c})
     stats = index.stats.first()
-    assert stats["n"] == 3 and abs(stats["avg_doc_length"] - 80 / 3) < 1e-9
-    tf = {(r["doc"], r["term"]): r["tf"] for r in index.postings.collect()}
-    assert tf[INSTALL, "installation"] == 6 and tf[INSTALL, "tool"] == 4 and tf[LOOPS, "loop"] == 3 and tf[CONFIG, "timeout"] == 2
+    assert stats["n"] == 4 and abs(stats["avg_doc_length"] - sum(sum(c.values()) for c in want.values()) / 4) < 1e-9
 
 
 def test_dense_order_and_lists(index):
     docs = indexing.dense_order(index.docs)
-    assert {r["doc"]: r["idx"] for r in docs.collect()} == {CONFIG: 0, INSTALL: 1, LOOPS: 2}
+    assert {r["doc"]: r["idx"] for r in docs.collect()} == {FRAMES: 0, WAX: 1, QUEEN: 2, WINTER: 3}
     lists = indexing.posting_lists(index.postings.join(docs.select("doc", "idx"), "doc"))
     back = indexing.long_postings(lists)
     assert back.count() == index.postings.count()
-    assert {r["term"]: r["list"] for r in lists.collect()}["loop"] == [2, 3]
-
-
-@pytest.mark.parametrize(
-    ("query", "want"),
-    [
-        ("co", {CONFIG: 0.904884, LOOPS: 0.528231}), ("config", {CONFIG: 0.904884}), ("for", {LOOPS: 1.056462}), ("in", {INSTALL: 0.897691}), ("install", {INSTALL: 0.975839}),
-        ("installation guide", {INSTALL: 7.181527}), ("loop", {LOOPS: 1.601354}), ("re", {CONFIG: 0.881194, LOOPS: 0.709227}), ("timeout retries", {CONFIG: 2.209388}), ("while loop", {LOOPS: 3.019809}),
-        ("frob", {}), ("the", {}), ("  ", {}), ("__proto__ toString", {}),
-    ],
-)
-def test_ranking(index, query, want):
-    got = [(r["doc"], r["score"]) for r in search.search(index, query).collect()]
+    assert {r["term"]: r["list"] for r in lists.collect()}["queen"] == [2, counts()[QUEEN]["queen"]]
+
+
+@pytest.mark.parametrize("query", ["w", "wa", "wax", "winter", "Winter", "wax for the winter", "the queen", "hive sugar", "hive  dies winter", "fra she", "queen frames", "of the", "zebra", "the", "   ", "constructor wax"])
+def test_ranking_equals_plain_python(index, query):
+    got, want = [(r["doc"], r["score"]) for r in search.search(index, query).collect()], ranked(query)
     assert [d for d, _ in got] == list(want)
-    assert all(abs(s - want[d]) < 1e-5 for d, s in got)
+    assert all(abs(s - want[d]) < 1e-9 for d, s in got)
 
 
 def test_sources_limit_facets(spark, index):
-    only = search.search(index, "re", ["beta"]).collect()
-    assert [r["doc"] for r in only] == [LOOPS] and abs(only[0]["score"] - 0.709227) < 1e-5
-    assert search.search(index, "re", limit=1).count() == 1
-    sources = spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "source_id string")
-    assert {r["source_id"]: r["hits"] for r in search.facets(search.search(index, "re"), sources).collect()} == {"alpha": 1, "beta": 1, "gamma": 0}
-    assert [r["doc"] for r in search.browse(index.docs).collect()] == [CONFIG, INSTALL, LOOPS]
-    line = search.result_lines(search.search(index, "loop")).first()["line"]
-    assert line.startswith(" 1. Loops [beta] score 1.60")
+    only = search.search(index, "winter wax", ["hive"]).collect()
+    assert {r["doc"]: round(r["score"], 9) for r in only} == {d: round(s, 9) for d, s in ranked("winter wax", ["hive"]).items()} and len(only) == 2
+    assert search.search(index, "winter wax", limit=1).count() == 1
+    sources = spark.createDataFrame([("comb",), ("hive",), ("moth",)], "source_id string")
+    assert {r["source_id"]: r["hits"] for r in search.facets(search.search(index, "queen"), sources).collect()} == {"comb": 0, "hive": 1, "moth": 0}
+    assert {r["source_id"]: r["hits"] for r in search.facets(index.docs, sources).collect()} == {"comb": 2, "hive": 2, "moth": 0}  # without a query: all documents
+    assert [r["doc"] for r in search.browse(index.docs).collect()] == [FRAMES, WAX, QUEEN, WINTER]
+    line = search.result_lines(search.search(index, "queen")).first()["line"]
+    assert line.startswith(" 1. The queen [hive] score ")
+
+
+def test_more_than_thirty_longer_terms(spark):
+    docs = spark.createDataFrame([(k, f"wa{'abcdefghij'[n // 10]}{'abcdefghij'[n % 10]}", "", "") for n in range(40) for k in range(n, 40)], "doc long, title string, headings string, body string")
+    got = search.candidates(indexing.document_frequency(indexing.weighted_postings(docs, {"title": 1})), ["wa"])
+    assert sorted(r["df"] for r in got.collect()) == list(range(11, 41))
 
 
 def test_empty_index(spark, docs):
     empty = indexing.build_index(indexing.index_documents(docs.limit(0)))
-    assert search.search(empty, "loop").count() == 0
+    assert search.search(empty, "wax").count() == 0
     assert empty.stats.first()["n"] == 0
 
 
 def test_snippets(spark):
     blocks = [
-        {"type": "heading", "level": 1, "anchor": "intro", "spans": [{"t": "Introduction"}]},
-        {"type": "paragraph", "spans": [{"t": "This page explains "}, {"t": "widgets", "c": True}, {"t": " in general."}]},
-        {"type": "heading", "level": 2, "anchor": "config", "spans": [{"t": "Configuration"}]},
-        {"type": "list", "items": [[P("Set the timeout option to control how long widgets wait for a response.")]]},
-        {"type": "code", "text": "widget --timeout 5"},
-        {"type": "table", "rows": [["option", "meaning"], ["retries", "number of retries"]]},
-        P("word " * 100 + "needle " + "word " * 100),
+        {"type": "heading", "level": 1, "anchor": "bees", "spans": [{"t": "About bees"}]},
+        {"type": "paragraph", "spans": [{"t": "A keeper watches the "}, {"t": "drones", "b": True}, {"t": " all summer."}]},
+        {"type": "heading", "level": 2, "anchor": "smoke", "spans": [{"t": "Smoking"}]},
+        {"type": "list", "items": [[P("Puff a little smoke so that the drones stay calm while you look.")]]},
+        {"type": "code", "text": "smoker --puffs 3"},
+        {"type": "table", "rows": [["fuel", "burns"], ["hay", "a short while"]]},
+        P("leaf " * 100 + "thorn " + "leaf " * 100),
     ]
     at = datetime(2026, 1, 1)
     docs = spark.createDataFrame([("d", "s", "S", "u", "t", None, at, at, [], json.dumps(blocks))], SCHEMA)
     parts = snippets.segments(block_rows(docs)).cache()
     best = lambda terms: snippets.best_snippets(parts, terms).collect()
-    r = best(["timeout", "widgets"])[0]
-    assert (r["anchor"], r["heading"]) == ("config", "Configuration") and "timeout option" in r["snippet"]
-    assert best(["config"])[0]["anchor"] == "config"
-    assert best(["nothing"]) == [] and best([]) == []
-    long = best(["needle"])[0]["snippet"]
-    assert long.startswith("… ") and long.endswith(" …") and len(long) < 300 and "needle" in long
+    r = best(["smoke", "drones"])[0]
+    assert (r["anchor"], r["heading"]) == ("smoke", "Smoking") and "little smoke" in r["snippet"]
+    assert best(["smok"])[0]["anchor"] == "smoke"
+    assert best(["zebra"]) == [] and best([]) == []
+    long = best(["thorn"])[0]["snippet"]
+    assert long.startswith("… ") and long.endswith(" …") and len(long) < 300 and "thorn" in long
 
 
 def test_highlight(spark):
-    body = "Installing the installer, not reinstall."
-    parts = snippets.highlight_parts(body, ["install"])
-    assert [t for t, h in parts if h] == ["Installing", "installer"] and "".join(t for t, _ in parts) == body
+    body = "Waxing the waxed, not beeswax."
+    parts = snippets.highlight_parts(body, ["wax"])
+    assert [t for t, h in parts if h] == ["Waxing", "waxed"] and "".join(t for t, _ in parts) == body
     assert snippets.highlight_parts(body, []) == [(body, False)]
     df = spark.createDataFrame([(body,), (None,)], "b string")
-    assert [r["h"] and len(r["h"]) for r in df.select(snippets.highlight("b", ["install"]).alias("h")).collect()] == [4, None]
+    assert [r["h"] and len(r["h"]) for r in df.select(snippets.highlight("b", ["wax"]).alias("h")).collect()] == [4, None]
 
 
 def test_titles_and_links(spark):
-    rows = [("py", f"{t} — Python 3.14 documentation", f"https://p/{t}", f"p{t}") for t in "abc"] + [("go", f"{t} - The Go Programming Language", f"https://g/{t}", f"g{t}") for t in "ab"] + [("one", "x - y", "https://o/", "o1")]
+    rows = [("py", f"{t} — Keeping Bees, 4th edition", f"https://p/{t}", f"p{t}") for t in "abc"] + [("go", f"{t} - Orchard Notes", f"https://g/{t}", f"g{t}") for t in "ab"] + [("one", "x - y", "https://o/", "o1")]
     docs = spark.createDataFrame(rows, "source_id string, title string, url string, id string")
-    assert {r["source_id"]: r["suffix"] for r in portal.title_suffixes(docs).collect()} == {"py": " — Python 3.14 documentation", "go": " - The Go Programming Language"}
+    assert {r["source_id"]: r["suffix"] for r in portal.title_suffixes(docs).collect()} == {"py": " — Keeping Bees, 4th edition", "go": " - Orchard Notes"}
     assert {r["short_title"] for r in portal.short_titles(docs).collect()} == {"a", "b", "c", "x - y"}
-    links = spark.createDataFrame([("https://p/a",), ("https://p/a#Some%20Section",), ("https://p/b#a+b",), ("https://p/c#%zz",), ("https://else/",)], "href string")
+    links = spark.createDataFrame([("https://p/a",), ("https://p/a#Old%20Hives",), ("https://p/b#a+b",), ("https://p/c#%zz",), ("https://else/",)], "href string")
     got = [(r["target"], r["anchor"]) for r in portal.resolve_links(links, docs).orderBy("href").collect()]
-    assert sorted(got, key=str) == sorted([("pa", None), ("pa", "Some Section"), ("pb", "a+b"), ("pc", "%zz"), (None, None)], key=str)
+    assert sorted(got, key=str) == sorted([("pa", None), ("pa", "Old Hives"), ("pb", "a+b"), ("pc", "%zz"), (None, None)], key=str)
 
 
 def test_natural_order(spark):
