@@ -40,18 +40,16 @@ def distinctive_terms(postings: DataFrame, index_docs: DataFrame, search_index:
     header = index_header(search_index).first()
     k1, b, stops = float(header["k1"]), float(header["b"]), list(header["stop_words"])
     valid = valid_rows(postings, index_docs)
-    # one shuffle, by document: removing repeats, counting and the joins with documents all keep to it
-    rows = valid.repartition("idx").distinct().groupBy("idx", "term").agg(F.sum(F.coalesce("tf", F.lit(0))).cast("long").alias("tf"))
+    # one scan and one shuffle, by document: repeats are removed and counts summed once, the rest reads what is written
+    rows = cut(valid.repartition("idx").distinct().groupBy("idx", "term").agg(F.sum(F.coalesce("tf", F.lit(0))).cast("long").alias("tf")))
     stats = cut(rows.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("total")))
     listed = indexed(index_docs).select("idx", "id", "length")
-    unknown = small(listed.filter("length IS NULL").select("idx"))  # only their lengths are sums
-    sums = valid.join(unknown, "idx", "left_semi").distinct().groupBy("idx").agg(F.sum(F.coalesce("tf", F.lit(0))).cast("long").alias("s"))
-    docs = cut(listed.join(sums, "idx", "left").select("idx", "id", F.coalesce(F.col("length").cast("long"), "s", F.lit(0).cast("long")).alias("length")))
+    own = rows.groupBy("idx").agg(F.sum("tf").alias("s"))
+    docs = cut(listed.join(own, "idx", "left").select("idx", "id", F.coalesce("s", F.lit(0).cast("long")).alias("s"), F.coalesce(F.col("length").cast("long"), "s", F.lit(0).cast("long")).alias("length")))
     whole = docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg")).first()
     every = F.lit(int(stats.agg(F.sum("total").alias("t")).first()["t"] or 0))
     n, avg = F.lit(int(whole["n"])), F.lit(float(whole["avg"] or 0) or 1.0)
-    own = rows.groupBy("idx").agg(F.sum("tf").alias("s"))
-    joined = rows.join(own, "idx").join(docs, "idx").join(small(stats, SENT_TERMS), "term")
+    joined = rows.join(small(docs), "idx").join(small(stats, SENT_TERMS), "term")
     tf, df, length = F.col("tf"), F.col("docs"), F.col("length")
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     weight = idf * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * length / avg))

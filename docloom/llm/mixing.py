@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +26,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 #: Texts rounded together in one task; a larger source is split into several such lots.
 LOT = 4096
 #: Newton iterations at most, and the relative error in tokens at which they end.
-ROUNDS, TOLERANCE = 40, 1e-7
-#: Characters of a text that the tokenizer is given at once; longer texts are cut at white space.
+ROUNDS, TOLERANCE = 100, 1e-7
+#: Characters from which a text is given to the tokenizer in slices.
 SLICE = 1 << 20
 
 
@@ -39,11 +40,24 @@ def encoder(path: str):  # noqa: ANN201
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def slices(text: str, size: int = SLICE) -> Iterator[str]:
+    """The text in slices of at least ``size`` characters, cut where no pre-token can reach across: before a single space
+    between two other characters."""
+    at = 0
+    while m := _SINGLE.search(text, at + size):
+        yield text[at : m.start() + 1]
+        at = m.start() + 1
+    yield text[at:]
+
+
+_SINGLE = re.compile(r"\S(?= \S)")
+
+
 def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     enc = None
     for rb in batches:
         enc = enc or encoder(path)
-        n = [sum(len(enc.encode_ordinary(t[at : at + SLICE])) for at in range(0, len(t), SLICE)) for t in rb.column("text").to_pylist()]
+        n = [sum(len(enc.encode_ordinary(p)) for p in slices(t)) for t in rb.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("source"), rb.column("key"), pa.array(n, pa.int64())], ["doc_id", "source", "key", "tokens"])
 
 
@@ -69,6 +83,8 @@ def _solve(sizes: DataFrame, stats: dict[str, dict], total: float) -> dict[str,
     """(tilt, scale) by source: Newton on the dual over (source, tokens, n), guarded by bisection where the cap bends it."""
     goal = {s: min(total * x["share"], x["cap"] * x["tokens"]) for s, x in stats.items()}
     tilt = {s: math.log(max(goal[s], 1e-300) / x["tokens"]) for s, x in stats.items()}
+    full = {s for s, x in stats.items() if goal[s] >= x["cap"] * x["tokens"] * (1 - 1e-12)}  # every text to the cap: no tilt is too high
+    tilt |= dict.fromkeys(full, 1e9)
     low, high = dict.fromkeys(stats, -1e3), dict.fromkeys(stats, 1e3)
     session = sizes.sparkSession
     for _ in range(ROUNDS):
@@ -80,6 +96,8 @@ def _solve(sizes: DataFrame, stats: dict[str, dict], total: float) -> dict[str,
         worst = 0.0
         for r in got:
             s, error = r["source"], r["f"] - goal[r["source"]]
+            if s in full:
+                continue
             worst = max(worst, abs(error) / max(goal[s], 1.0))
             if abs(error) <= TOLERANCE * max(goal[s], 1.0):
                 continue
@@ -88,6 +106,8 @@ def _solve(sizes: DataFrame, stats: dict[str, dict], total: float) -> dict[str,
             tilt[s] = step if low[s] < step < high[s] else (low[s] + high[s]) / 2 if high[s] < 1e3 and low[s] > -1e3 else tilt[s] - math.copysign(1.0, error)
         if worst < TOLERANCE:
             break
+    else:
+        raise RuntimeError(f"a source's tokens are still off by {worst:.1e} after {ROUNDS} iterations")
     return {s: (tilt[s], x["mean"]) for s, x in stats.items()}
 
 

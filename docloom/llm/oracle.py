@@ -41,6 +41,9 @@ total AS (SELECT source_id, count(*) AS n FROM cur GROUP BY source_id),
 often AS (SELECT source_id, line FROM long JOIN total USING (source_id) GROUP BY source_id, line, n HAVING count(DISTINCT id) >= 5 AND count(DISTINCT id) >= 0.1 * n)
 SELECT id, ord FROM long JOIN often USING (source_id, line)""",
         "p3_terms": _MARKS,
+        "p3_ngrams": r"""WITH i AS (SELECT idx, [lower(w) FOR w IN regexp_extract_all(any_value(coalesce(summary, '')), '[\p{L}\p{N}]+') IF length(lower(w)) <= 40] AS t FROM index_docs WHERE idx IS NOT NULL GROUP BY idx),
+g AS (SELECT idx, array_to_string(t[p : p + n - 1], ' ') AS ngram FROM (SELECT idx, t, unnest(range(1, len(t) + 1)) AS p FROM i), (SELECT unnest([1, 2, 3]) AS n) WHERE p + n - 1 <= len(t))
+SELECT ngram, count(*) AS occurrences, count(DISTINCT idx) AS docs FROM g GROUP BY ngram HAVING count(DISTINCT idx) >= 3""",
         "p3_found": f"SELECT term, mark FROM ({_MARKS}) WHERE mark IN ('rare', 'common')",
         "p4_found": f"""{_SCORES}, ranked AS (SELECT id, term, row_number() OVER (PARTITION BY idx ORDER BY weight DESC, term) AS r FROM scored WHERE NOT stop AND docs >= 2)
 SELECT id, term FROM ranked WHERE r = 1""",

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.functions.text import tokens
 from docloom.llm import abuse, boilerplate, distinctive, leaks, lines, mixing, neardup, residue, terms
-from docloom.sources.tables import spread, table
+from docloom.sources.tables import indexed, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,12 @@ def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.term_marks(*_index(spark, sf_dir))
 
 
+def p3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of up to three words in the summaries of the index, in at least RARE documents."""
+    docs = indexed(table(spark, sf_dir, "index_docs")).select("idx", tokens(F.coalesce("summary", F.lit(""))).alias("t"))
+    return terms.ngram_counts(docs, "idx", "t", 3, terms.RARE).select(F.array_join("ngram", " ").alias("ngram"), "occurrences", "docs")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive.top_term(distinctive.distinctive_terms(*_index(spark, sf_dir)))
 
@@ -102,5 +109,5 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_terms, p4_found, p4_scores, p6_found, p6_stripped, p7_found, p7_content, p8_found, p8_items, p9_mixture, p9_shares, p9_shares_whole, p10_found, p10_rates)
+    own = (p1_found, p1_groups, p2_found, p2_scores, p3_found, p3_terms, p3_ngrams, p4_found, p4_scores, p6_found, p6_stripped, p7_found, p7_content, p8_found, p8_items, p9_mixture, p9_shares, p9_shares_whole, p10_found, p10_rates)
     return {f.__name__: f for f in own}

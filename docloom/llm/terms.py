@@ -24,93 +24,98 @@ RARE, COMMON = 3, 0.25
 SENT_DOCS = 2_000_000
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of suffixes of one term: rows sorted by term, record and weight; equal rows count once.
-
-    Columns term, rec, w, tag; gives term, docs, total. Carries the last run and the last row over to the next batch.
+def _codes(suffix: pa.ListArray, sigma: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(codes, lengths, terms): a number for each term of each suffix, -1 behind its end, equal for equal terms of the batch."""
+    sizes = pc.list_value_length(suffix).to_numpy(zero_copy_only=False).astype(np.int64)
+    known = suffix.flatten().dictionary_encode()
+    codes = np.full((len(sizes), sigma), -1, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    codes[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = known.indices.to_numpy(zero_copy_only=False)
+    return codes, sizes, known.dictionary
+
+
+def _stack(batches: Iterator[pa.RecordBatch], sigma: int) -> Iterator[pa.RecordBatch]:
+    """Counts of all prefixes of suffixes that come sorted, by a stack of the prefixes that are still open.
+
+    Columns suffix, rec, w, tag; rows equal in all of them stand together and count once. A prefix is left behind when its
+    next row begins otherwise; then its count and the number of its records are known. Within a batch all prefixes of one
+    depth are counted at a time; what is open at its end stays on the stack: (path, weight, distinct records) at each depth.
     """
-    name, docs, total, last = None, 0, 0, None
+    stack: list[tuple[list[str], int, np.ndarray]] = []
+    last: tuple | None = None
     for rb in batches:
         if not rb.num_rows:
             continue
-        term, rec, w, tag = (rb.column(c) for c in ("term", "rec", "w", "tag"))
-        n = rb.num_rows
-
-        def moved(col: pa.Array, k: int) -> np.ndarray:
-            head = True if last is None else col[0].as_py() != last[k]
-            rest = pc.fill_null(pc.not_equal(col.slice(1), col.slice(0, n - 1)), True).to_numpy(zero_copy_only=False) if n > 1 else np.empty(0, bool)
-            return np.r_[head, rest]
-
-        new_term = moved(term, 0)
-        new_rec = new_term | moved(rec, 1)
-        new_row = new_rec | moved(w, 2) | moved(tag, 3)
-        amount = np.where(new_row, np.nan_to_num(w.cast(pa.float64()).to_numpy(zero_copy_only=False)).astype(np.int64), 0)
-        at = np.flatnonzero(new_term)
-        first = int(at[0]) if len(at) else n
-        docs += int(new_rec[:first].sum())
-        total += int(amount[:first].sum())
-        if len(at):
-            d, t = np.add.reduceat(new_rec.astype(np.int64), at), np.add.reduceat(amount, at)
-            names = term.take(pa.array(at))
-            old = [] if name is None else [(name, docs, total)]
-            out = pa.RecordBatch.from_arrays([pa.array([x[0] for x in old], pa.string()), pa.array([x[1] for x in old], pa.int64()), pa.array([x[2] for x in old], pa.int64())], ["term", "docs", "total"])
-            if old:
-                yield out
-            if len(at) > 1:
-                yield pa.RecordBatch.from_arrays([names.slice(0, len(at) - 1).cast(pa.string()), pa.array(d[:-1]), pa.array(t[:-1])], ["term", "docs", "total"])
-            name, docs, total = names[len(at) - 1].as_py(), int(d[-1]), int(t[-1])
-        last = tuple(c[n - 1].as_py() for c in (term, rec, w, tag))
-    if name is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([docs], pa.int64()), pa.array([total], pa.int64())], ["term", "docs", "total"])
+        codes, sizes, terms = _codes(rb.column("suffix"), sigma)
+        rec = rb.column("rec").to_numpy(zero_copy_only=False)
+        w = np.nan_to_num(rb.column("w").cast(pa.float64()).to_numpy(zero_copy_only=False)).astype(np.int64)
+        tag = pc.fill_null(rb.column("tag").dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        moved = np.r_[True, (codes[1:] != codes[:-1]).any(1)]
+        fresh = moved | np.r_[True, (rec[1:] != rec[:-1]) | (w[1:] != w[:-1]) | (tag[1:] != tag[:-1])]
+        path = lambda k, depth: [terms[c].as_py() for c in codes[k, :depth].tolist()]
+        row = lambda k: (path(k, int(sizes[k])), int(rec[k]), int(w[k]), rb.column("tag")[k].as_py())
+        fresh[0] = last != row(0)
+        last = row(len(rec) - 1)
+        before, stack, out = stack, [], []
+        for depth in range(1, sigma + 1):
+            old = before[depth - 1] if depth <= len(before) else None
+            rows = np.flatnonzero(sizes >= depth)
+            begins = np.r_[True, (codes[rows[1:], :depth] != codes[rows[:-1], :depth]).any(1) | (rows[1:] != rows[:-1] + 1)] if len(rows) else np.empty(0, bool)
+            run = np.cumsum(begins) - 1
+            start = rows[begins]
+            total = np.bincount(run, w[rows] * fresh[rows], len(start)).astype(np.int64)
+            order = np.lexsort((rec[rows], run))
+            one = np.r_[True, (np.diff(run[order]) != 0) | (np.diff(rec[rows][order]) != 0)] if len(rows) else np.empty(0, bool)
+            docs = np.bincount(run[order][one], minlength=len(start))
+            records = rec[rows][order][one]
+            at = np.r_[0, np.cumsum(docs)]
+            goes_on = old is not None and len(rows) and rows[0] == 0 and path(0, depth) == old[0]
+            if old is not None and not goes_on:
+                out.append(([old[0]], [old[1]], [len(old[2])]))
+            first_records = np.union1d(old[2], records[: at[1]]) if goes_on else None
+            if goes_on:
+                total[0] += old[1]
+                docs[0] = len(first_records)
+            stays = len(rows) and rows[-1] == len(rec) - 1  # the last prefix of this depth is still open
+            shut = len(start) - int(bool(stays))
+            if shut > 0:
+                out.append(([path(k, depth) for k in start[:shut].tolist()] if depth > 1 else pc.list_slice(rb.column("suffix").take(pa.array(start[:shut])), 0, 1), total[:shut].tolist(), docs[:shut].tolist()))
+            if stays:
+                mine = first_records if goes_on and len(start) == 1 else records[at[len(start) - 1] :]
+                stack.append((path(len(rec) - 1, depth), int(total[-1]), mine))
+        yield from _emit(out)
+    yield from _emit([([p], [n], [len(r)]) for p, n, r in stack])
+
+
+def _emit(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for paths, n, docs in out:
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.list_(pa.string())) if isinstance(paths, list) else paths.cast(pa.list_(pa.string())), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["ngram", "total", "docs"])
+
+
+def suffix_counts(suffixes: DataFrame, sigma: int) -> DataFrame:
+    """(ngram, total, docs) of all prefixes of the suffixes: columns suffix (array of at most sigma terms), rec, w, tag.
+
+    Suffixes are routed by their first term and a salt made from the record, so that one term may hold any share of the
+    rows, and sorted in reverse lexicographic order; the salts' partial counts are added. A record lies in one salt only, so
+    numbers of records add up too; salts of one term that meet in a partition are read as one run, which is right as their
+    records differ. A task holds the records of its open prefixes only, 8 bytes each.
+    """
+    spread = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = suffixes.select("suffix", "rec", "w", "tag").repartition(F.col("suffix")[0], F.pmod(F.xxhash64("rec"), F.lit(spread))).sortWithinPartitions(F.desc("suffix"), "rec", "w", "tag")
+    counted = routed.mapInArrow(lambda it: _stack(it, sigma), "ngram array<string>, total long, docs long")
+    return counted.groupBy("ngram").agg(F.sum("total").alias("total"), F.sum("docs").alias("docs"))
 
 
 def term_counts(rows: DataFrame, term: str | Column, record: str | Column, weight: str | Column, tag: str | Column) -> DataFrame:
     """(term, docs, total): records and summed weight of every term; rows equal in all four columns count once.
 
-    The case sigma = 1 of ngram_counts over rows that already stand one to a term. Null terms and null records are
-    dropped; a null weight adds nothing. The sort brings equal rows together, so removing repeats needs no shuffle.
+    Each row is a suffix of one term. Null terms and null records are dropped; a null weight adds nothing. The sort brings
+    equal rows together, so removing repeats needs no shuffle.
     """
     col = lambda c: F.col(c) if isinstance(c, str) else c
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = rows.select(col(term).alias("term"), col(record).cast("long").alias("rec"), col(weight).cast("long").alias("w"), col(tag).cast("string").alias("tag")).filter("term IS NOT NULL AND rec IS NOT NULL")
-    routed = r.repartition(F.col("term"), F.pmod(F.xxhash64("rec"), F.lit(spread))).sortWithinPartitions(F.desc("term"), "rec", "w", "tag")
-    # salts of one term that meet in a partition are read as one run, which is right as their records differ
-    return routed.mapInArrow(_runs, "term string, docs long, total long").groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total"))
-
-
-def _stack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of all prefixes of suffixes sorted in reverse lexicographic order (columns suffix, rec)."""
-    stack: list[list] = []  # [term, occurrences, records] for each depth
-    out: list[tuple[list[str], int, int]] = []
-
-    def leave(depth: int) -> None:
-        while len(stack) > depth:
-            out.append(([x[0] for x in stack], stack[-1][1], len(stack[-1][2])))
-            _, n, records = stack.pop()
-            if stack:
-                stack[-1][1] += n
-                small, large = sorted((records, stack[-1][2]), key=len)
-                large |= small
-                stack[-1][2] = large
-
-    def flush() -> pa.RecordBatch:
-        rb = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.list_(pa.string())), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["ngram", "occurrences", "docs"])
-        out.clear()
-        return rb
-
-    for rb in batches:
-        for suffix, rec in zip(rb.column("suffix").to_pylist(), rb.column("rec").to_pylist()):
-            same = 0
-            while same < min(len(stack), len(suffix)) and stack[same][0] == suffix[same]:
-                same += 1
-            leave(same)
-            stack += [[t, 0, set()] for t in suffix[same:]]
-            stack[-1][1] += 1
-            stack[-1][2].add(rec)
-        if len(out) > 50_000:
-            yield flush()
-    leave(0)
-    yield flush()
+    r = rows.filter(col(term).isNotNull() & col(record).isNotNull())
+    r = r.select(F.array(col(term)).alias("suffix"), col(record).cast("long").alias("rec"), col(weight).cast("long").alias("w"), col(tag).cast("string").alias("tag"))
+    return suffix_counts(r, 1).select(F.col("ngram")[0].alias("term"), "docs", "total")
 
 
 def ngram_counts(rows: DataFrame, record: str, tokens: str, sigma: int = 3, min_docs: int = 1) -> DataFrame:
@@ -120,13 +125,11 @@ def ngram_counts(rows: DataFrame, record: str, tokens: str, sigma: int = 3, min_
     without them); a record that occurs in several rows is one record. Very long arrays are cut into suffixes of sigma
     terms only, so no row grows with the square of its length.
     """
-    spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clean = F.filter(F.col(tokens), lambda t: t.isNotNull())
-    r = rows.select(F.col(record).cast("long").alias("rec"), clean.alias("t")).filter("rec IS NOT NULL AND size(t) > 0")
-    r = r.select("rec", "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("p")).select("rec", F.slice("t", F.col("p"), F.lit(sigma)).alias("suffix"))
-    routed = r.repartition(F.col("suffix")[0], F.pmod(F.xxhash64("rec"), F.lit(spread))).sortWithinPartitions(F.desc("suffix"))
-    counted = routed.mapInArrow(_stack, "ngram array<string>, occurrences long, docs long")
-    return counted.groupBy("ngram").agg(F.sum("occurrences").alias("occurrences"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+    r = rows.select(F.col(record).cast("long").alias("rec"), F.monotonically_increasing_id().cast("string").alias("row"), clean.alias("t")).filter("rec IS NOT NULL AND size(t) > 0")
+    r = r.select("rec", "row", "t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("p"))
+    suffixes = r.select(F.slice("t", F.col("p"), F.lit(sigma)).alias("suffix"), "rec", F.lit(1).cast("long").alias("w"), F.concat_ws(" ", "row", "p").alias("tag"))
+    return suffix_counts(suffixes, sigma).withColumnRenamed("total", "occurrences").filter(F.col("docs") >= min_docs)
 
 
 def valid_rows(postings: DataFrame, index_docs: DataFrame) -> DataFrame:
