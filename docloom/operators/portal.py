@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -34,9 +36,13 @@ def short_titles(docs: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(title_suffixes(docs)), "source_id", "left").withColumn("short_title", F.trim(cut)).drop("suffix")
 
 
+_PAIRS = [(chr(c), base) for c in range(0xC0, 0x250) if (base := unicodedata.normalize("NFD", chr(c))[0]).isascii()]
+_ACCENTED, _PLAIN = ("".join(x) for x in zip(*_PAIRS))
+
+
 def natural_key(text: Column) -> Column:
-    """A key by which texts sort naturally: folded case and accents, runs of digits by their value."""
-    folded = F.lower(text)
+    """A key by which texts sort naturally: folded case and accents of Latin letters, runs of digits by their value."""
+    folded = F.lower(F.translate(text, _ACCENTED, _PLAIN))
     parts = F.regexp_extract_all(folded, F.lit(r"\d+|\D+"), F.lit(0))
     pad = F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0")).otherwise(p))
     return F.array_join(pad, "")

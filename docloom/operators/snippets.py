@@ -53,18 +53,26 @@ def window_around(body: Column, at: Column, before: int = BEFORE, after: int = A
     return F.concat(F.when(start > 1, "… ").otherwise(""), cut, F.when(stop < n, " …").otherwise(""))
 
 
-def best_snippets(parts: DataFrame, terms: list[str]) -> DataFrame:
-    """(id, snippet, anchor, heading): each document's best segment; documents without a hit have no row.
+def best_parts(parts: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, s, ord, sub, text, anchor, heading): each document's best segment, s its points below zero.
 
     Ten points for each distinct term, two for a text that isn't code, one for one that isn't a heading; the earliest
-    wins a tie. A heading that says what the snippet says is left out.
+    wins a tie.
     """
-    if not terms:
-        return parts.select("id", F.lit("").alias("snippet"), "anchor", "heading").filter(F.lit(False))
     found = F.array_compact(F.array_distinct(F.transform(text.tokens("text"), lambda t: first_match(t, terms))))
     scored = parts.withColumn("n", F.size(found)).filter("n > 0").withColumn("score", F.col("n") * 10 + F.when(F.col("code"), 0).otherwise(2) + F.when(F.col("is_heading"), 0).otherwise(1))
     keep = F.struct((-F.col("score")).alias("s"), "ord", "sub", "text", "anchor", "heading")
-    best = scored.groupBy("id").agg(F.min(keep).alias("b")).select("id", "b.*")
+    return scored.groupBy("id").agg(F.min(keep).alias("b")).select("id", "b.*")
+
+
+def best_snippets(parts: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, snippet, anchor, heading): the window around the first hit of each document's best segment.
+
+    Documents without a hit have no row; a heading that says what the snippet says is left out.
+    """
+    if not terms:
+        return parts.select("id", F.lit("").alias("snippet"), "anchor", "heading").filter(F.lit(False))
+    best = best_parts(parts, terms)
     options = "|".join(re.escape(t) + ("" if len(t) >= 2 else r"(?![\p{L}\p{N}])") for t in terms)
     lead = F.char_length(F.regexp_extract(F.lower("text"), rf"(?s)^(.*?)(?<![\p{{L}}\p{{N}}])(?:{options})", 1)) + 1
     shown = F.nullif("heading", "text")

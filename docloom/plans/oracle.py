@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from docloom.functions.html import SKIPPED_NAMES
 from docloom.functions.text import STOP_WORDS
 from docloom.functions.urls import NON_HTML
 
@@ -44,7 +45,69 @@ NODES = """nodes AS (
 ords AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY path) - 1 AS INT) AS ord FROM nodes WHERE b IS NOT NULL AND json_type(b) = 'OBJECT')"""
 
 
+#: Of the blocks in ords: kind, the spans' text, the rows' texts.
+_KIND = "json_extract_string(b, '$.type')"
+_SPANS = "array_to_string([coalesce(json_extract_string(b, '$.spans[' || k || '].t'), '') FOR k IN range(CAST(coalesce(json_array_length(b, '$.spans'), 0) AS BIGINT))], '')"
+
+
+def _rows(sep: str, null: str = "NULL") -> str:
+    """The texts of a table's rows, as a list."""
+    cells = f"[coalesce(json_extract_string(b, '$.rows[' || r || '][' || c || ']'), {null}) FOR c IN range(CAST(coalesce(json_array_length(b, '$.rows[' || r || ']'), 0) AS BIGINT))]"
+    return f"[array_to_string({cells}, '{sep}') FOR r IN range(CAST(coalesce(json_array_length(b, '$.rows'), 0) AS BIGINT))]"
+
+
+def _weight(column: str, w: int) -> str:
+    return f"{w} * len([t FOR t IN {_TOKENS.format(column)} IF t NOT IN ({_STOPS})])"
+
+
+def _extra(simple: str) -> dict[str, str]:
+    """Queries over the blocks; simple is the SQL of url_normalize without the current rows, for which it says cur."""
+    escaped = "array_to_string([CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END FOR c IN string_split({0}, '')], '')"
+    with_nodes = f"WITH RECURSIVE {CURRENT}, {NODES}"
+    field = lambda f: f"json_extract_string(b, '$.spans[' || k || '].{f}')"
+    span = f"[CASE WHEN {field('h')} IS NOT NULL THEN '[' || {field('t')} || '](' || {field('h')} || ')' WHEN {field('c')} = 'true' THEN '`' || {field('t')} || '`' WHEN {field('b')} = 'true' THEN '**' || {field('t')} || '**' WHEN {field('i')} = 'true' THEN '*' || {field('t')} || '*' ELSE {field('t')} END FOR k IN range(CAST(coalesce(json_array_length(b, '$.spans'), 0) AS BIGINT))]"
+    skipped = ", ".join(f"'{x}'" for x in sorted(SKIPPED_NAMES))  # an anchor of that name is page furniture
+    has = lambda f: f"json_type(json_extract(b, '$.{f}')) = 'ARRAY'"
+    page = f"{with_nodes}, n AS ({simple}), page AS (SELECT {escaped.format('normal')} AS url, arg_max(n.id, (cur.indexed_at, n.id)) AS id FROM n JOIN cur USING (id) WHERE normal IS NOT NULL GROUP BY 1)"
+    return {
+        "p5_spans": f"{with_nodes} SELECT id, ord, CAST(k AS INT) AS place, {field('t')} AS t, {', '.join(f'CAST(CAST({field(x)} AS BOOLEAN) AS INT) AS {x}' for x in 'cbi')}, {field('h')} AS h FROM (SELECT id, ord, b, unnest(range(CAST(coalesce(json_array_length(b, '$.spans'), 0) AS BIGINT))) AS k FROM ords)",
+        "crawl_index": f"""{with_nodes}, part AS (SELECT id, ord, {_KIND} AS kind, {_SPANS} AS s, coalesce(json_extract_string(b, '$.text'), '') AS code, array_to_string({_rows(' ')}, ' ') AS cells FROM ords),
+f AS (SELECT id, string_agg(CASE WHEN kind = 'heading' THEN s END, ' ' ORDER BY ord) AS h, string_agg(CASE kind WHEN 'paragraph' THEN s WHEN 'code' THEN code WHEN 'table' THEN cells END, ' ' ORDER BY ord) AS b, string_agg(CASE WHEN kind = 'paragraph' THEN s END, ' ' ORDER BY ord) AS p FROM part GROUP BY id),
+t AS (SELECT cur.id AS doc, coalesce(title, '') AS title, coalesce(h, '') AS h, coalesce(b, '') AS b, trim(regexp_replace(coalesce(nullif(trim(description), ''), p, ''), '\s+', ' ', 'g')) AS t FROM cur LEFT JOIN f USING (id)),
+x AS (SELECT *, left(t, 240) AS head, regexp_extract(left(t, 240), '(?s)^(.*) ', 1) AS before FROM t)
+SELECT doc, CAST({_weight('title', 6)} + {_weight('h', 3)} + {_weight('b', 1)} AS BIGINT) AS length, CASE WHEN length(t) <= 240 THEN t ELSE regexp_replace(CASE WHEN contains(head, ' ') AND octet_length(encode(before)) > 120 THEN before ELSE head END, '[ ,.;:]+$', '') || '…' END AS summary FROM x""",
+        "browse_titles": _suffixes() + r""", s AS (SELECT i.idx, trim(CASE WHEN suffix IS NOT NULL AND ends_with(coalesce(title, ''), suffix) AND length(coalesce(title, '')) > length(suffix) THEN left(title, length(title) - length(suffix)) ELSE coalesce(title, '') END) AS short_title FROM i LEFT JOIN best USING (source_id))
+SELECT idx, short_title, array_to_string([CASE WHEN regexp_matches(p, '^\d+$') THEN lpad(CASE WHEN ltrim(p, '0') = '' THEN '0' ELSE ltrim(p, '0') END, 20, '0') ELSE p END FOR p IN regexp_extract_all(lower(strip_accents(short_title)), '\d+|\D+')], '') AS sort_key FROM s""",
+        "url_normalize_full": f"WITH {CURRENT}, n AS ({simple}), e AS (SELECT id, {escaped.format('normal')} AS normal, query FROM n) SELECT id, normal, normal || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS with_query FROM e",
+        "markdown": f"""SELECT * FROM ({with_nodes}, l AS (SELECT id, ord, {_KIND} AS kind, CASE WHEN {has('spans')} THEN array_to_string({span}, '') END AS s, b FROM ords)
+SELECT id, ord, CASE kind WHEN 'heading' THEN repeat('#', coalesce(CAST(json_extract_string(b, '$.level') AS INT), 1)) || ' ' || s WHEN 'code' THEN '```' || coalesce(json_extract_string(b, '$.lang'), '') || chr(10) || coalesce(json_extract_string(b, '$.text'), '') || chr(10) || '```'
+WHEN 'table' THEN CASE WHEN {has('rows')} THEN array_to_string(['| ' || x || ' |' FOR x IN {_rows(' | ', "''")}], chr(10)) END WHEN 'paragraph' THEN s END AS line FROM l) WHERE line IS NOT NULL""",
+        "table_of_contents": f"""{with_nodes}, top AS (SELECT id, ord, {_KIND} AS kind, CAST(json_extract_string(b, '$.level') AS INT) AS level, json_extract_string(b, '$.anchor') AS anchor FROM ords WHERE depth = 0),
+told AS (SELECT *, coalesce(ord = min(CASE WHEN kind = 'heading' THEN ord END) OVER (PARTITION BY id) AND level = 1 AND count(CASE WHEN kind = 'heading' AND level = 1 THEN 1 END) OVER (PARTITION BY id) = 1, FALSE) AS is_title FROM top),
+h AS (SELECT id, CAST(k AS INT) AS place, x.level AS level, x.text AS text, x.anchor AS anchor FROM (SELECT id, unnest(headings) AS x, unnest(range(len(headings))) AS k FROM cur)),
+kept AS (SELECT * FROM h WHERE level <= 4 AND EXISTS (SELECT 1 FROM told t WHERE t.id = h.id AND t.anchor = h.anchor AND t.kind = 'heading' AND NOT t.is_title))
+SELECT id, place, level, text, anchor, CAST(least(level - min(level) OVER (PARTITION BY id), 3) AS INT) AS depth FROM kept QUALIFY count(*) OVER (PARTITION BY id) > 1""",
+        "segment_choice": f"""{with_nodes}, o AS (SELECT id, ord, {_KIND} AS kind, b, CASE WHEN {_KIND} = 'code' THEN coalesce(json_extract_string(b, '$.text'), '') WHEN {_KIND} IN ('heading', 'paragraph') THEN {_SPANS} END AS own FROM ords),
+hd AS (SELECT *, last_value(CASE WHEN kind = 'heading' THEN {{'anchor': json_extract_string(b, '$.anchor'), 'heading': own}} END IGNORE NULLS) OVER (PARTITION BY id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM o),
+ls AS (SELECT *, CASE WHEN kind = 'table' THEN {_rows(' · ')} WHEN own IS NOT NULL THEN [own] END AS texts FROM hd),
+seg AS (SELECT id, ord, kind, h, unnest(texts) AS t, CAST(unnest(range(len(texts))) AS INT) AS sub FROM ls),
+hit AS (SELECT *, len(list_distinct([CASE WHEN starts_with(w, 'gateway') THEN 'gateway' ELSE 'cache' END FOR w IN {_TOKENS.format('t')} IF starts_with(w, 'gateway') OR starts_with(w, 'cache')])) AS n FROM seg WHERE t <> '')
+SELECT id, ord, sub, CAST(n * 10 + CASE WHEN kind = 'code' THEN 0 ELSE 2 END + CASE WHEN kind = 'heading' THEN 0 ELSE 1 END AS INT) AS points, h.anchor AS anchor, h.heading AS heading FROM hit WHERE n > 0
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY points DESC, ord, sub) = 1""",
+        "extract_pages": f"""{page}, k AS (SELECT id, count(CASE WHEN {_KIND} = 'heading' AND coalesce(lower(json_extract_string(b, '$.anchor')), '') NOT IN ({skipped}) AND trim(regexp_replace({_SPANS}, '[\s¶#§]+', '', 'g')) <> '' THEN 1 END) AS headings, count(CASE WHEN {_KIND} = 'code' AND trim(coalesce(json_extract_string(b, '$.text'), '')) <> '' THEN 1 END) AS code,
+sum(CASE WHEN {_KIND} = 'table' THEN len([1 FOR r IN range(CAST(coalesce(json_array_length(b, '$.rows'), 0) AS BIGINT)) IF json_array_length(b, '$.rows[' || r || ']') > 0]) ELSE 0 END) AS rows, count(CASE WHEN {_KIND} = 'table' AND len([1 FOR r IN range(CAST(coalesce(json_array_length(b, '$.rows'), 0) AS BIGINT)) IF json_array_length(b, '$.rows[' || r || ']') > 0]) > 0 THEN 1 END) AS tables FROM ords GROUP BY id)
+SELECT url, CAST(coalesce(headings, 0) AS INT) AS headings, coalesce(code, 0) AS code, coalesce(tables, 0) AS "table", CAST(coalesce(rows, 0) AS BIGINT) AS rows FROM page LEFT JOIN k USING (id)""",
+        "crawl_replay": f"""{page}, o AS (SELECT url, row_number() OVER (ORDER BY url) - 1 AS k FROM page)
+SELECT url, CAST(CASE WHEN k = 0 THEN 0 WHEN k <= 40 THEN 1 WHEN k <= 1640 THEN 2 WHEN k <= 65640 THEN 3 WHEN k <= 2625640 THEN 4 ELSE 5 END AS INT) AS depth FROM o""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
+    every = _plain()
+    return every | _extra(every["url_normalize"].replace(CURRENT + ", ", "", 1))
+
+
+def _plain() -> dict[str, str]:
     endings = ", ".join(f"'{e}'" for e in sorted(NON_HTML))
     scheme_host = "regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1)"
     path = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"

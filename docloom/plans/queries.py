@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from html import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import html, robots, text, urls
+from docloom.functions.blocks import parse_blocks
 from docloom.functions.config import Source, boundary
 from docloom.operators import crawl, indexing, nested, portal, search, snippets
+from docloom.session import cut
 from docloom.sources.tables import indexed, latest, small, spelled, spread, table, valid_postings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +25,7 @@ SOURCES = ["vorlath-docs", "tasmerod-guide"]
 SCOPE = Source(id="guides", name="Guides", start_urls=["https://guide.cobrelin.example/"], allowed_prefixes=["https://guide.cobrelin.example/docs/", "https://help.fenwocket.example/"], allowed_hosts=["docs.vorlath.example"], include_patterns=["/docs/|/v[0-9]+/|vorlath"], exclude_patterns=[r"\.html$", "compared"])
 ROBOTS = "User-agent: *\nDisallow: /docs/\nAllow: /docs/using-\nDisallow: /*.html$\n"
 SEGMENT_TERMS = ["gateway", "cache"]
+FANOUT = 40
 
 
 def query(f: Query) -> Query:
@@ -182,7 +187,7 @@ def short_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def browse_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return portal.browse_titles(indexed(table(spark, sf_dir, "index_docs")).filter(F.col("source_id").isin(SOURCES))).select("idx", "short_title", "sort_key")
+    return portal.browse_titles(indexed(table(spark, sf_dir, "index_docs"))).select("idx", "short_title", "sort_key")
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,6 +263,13 @@ def best_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets.best_snippets(_lines(spark, sf_dir), SEGMENT_TERMS).select("id", F.char_length("snippet").alias("n"), "snippet")
 
 
+@query
+def segment_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best segment of each crawled document that has a hit."""
+    parts = snippets.segments(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["type", "anchor", "text", "spans", "rows"]))
+    return snippets.best_parts(parts, SEGMENT_TERMS).select("id", "ord", "sub", (-F.col("s")).alias("points"), "anchor", "heading")
+
+
 @query
 def page_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = snippets.segments(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["type", "anchor", "text", "spans", "rows"]))
@@ -277,26 +289,38 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portal.to_markdown(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["type", "level", "text", "lang", "spans", "rows"]))
 
 
+def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        made = [f"<html><head><title>{escape(t or '')}</title></head><body><main>{html.render(parse_blocks(b))}</main></body></html>" for t, b in zip(rb.column("title").to_pylist(), rb.column("blocks").to_pylist())]
+        yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("url"), rb.column("indexed_at"), pa.array(made, pa.string())], ["id", "url", "indexed_at", "html"])
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Crawled documents as HTML pages: title, their links, and a paragraph that no other page has."""
-    d = _crawled(spark, sf_dir, "source_id", "url", "title", "blocks")
-    links = F.array_join(F.transform(F.regexp_extract_all("blocks", F.lit(r'"h": ?"([^"]+)"'), F.lit(1)), lambda h: F.concat(F.lit('<a href="'), h, F.lit('">x</a>'))), " ")
-    page = F.concat(F.lit("<html><head><title>"), F.coalesce("title", F.lit("")), F.lit("</title></head><body><main><h1>"), F.coalesce("title", F.lit("")), F.lit("</h1><p>"), "id", F.lit(" "), links, F.lit("</p></main></body></html>"))
-    return d.select("url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("redirect_to"), page.alias("html"))
+    """The current documents as HTML pages, all their blocks rendered; of a URL the page of the newest document."""
+    d = _crawled(spark, sf_dir, "url", "title", "indexed_at", "blocks").select("id", urls.normalize_col("url").alias("url"), "indexed_at", "title", "blocks").filter("url IS NOT NULL")
+    page = d.mapInArrow(_rendered, "id string, url string, indexed_at timestamp, html string")
+    return page.groupBy("url").agg(F.max_by(F.struct("id", "html"), F.struct("indexed_at", "id")).alias("p")).select("url", "p.id", "p.html")
 
 
 @query
 def extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html.extract(_pages(spark, sf_dir).filter("url IS NOT NULL")).select("url", "title", F.size("links").alias("links"), F.size("headings").alias("headings"), "n_blocks")
+    """What the extraction of every rendered page finds, by kind of block at any depth."""
+    got = html.extract(_pages(spark, sf_dir))
+    b = nested.block_rows(got.select(F.col("url").alias("id"), F.lit(0).alias("indexed_at"), F.lit(0).alias("arrived_at"), "blocks"), ["type", "rows"])
+    kinds = b.groupBy("id").agg(*[F.count_if(F.col("type") == k).alias(k) for k in ("code", "table")], F.sum(F.when(F.col("type") == "table", F.size("rows")).otherwise(0)).alias("rows"))
+    return got.select(F.col("url").alias("id"), F.size("headings").alias("headings")).join(kinds, "id", "left").na.fill(0).withColumnRenamed("id", "url")
 
 
 @query
 def crawl_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A crawl over the crawled pages of one source, from a page that links to all of them."""
-    pages = _pages(spark, sf_dir).filter("url LIKE 'https://docs.vorlath.example/%'").dropDuplicates(["url"])
-    home = pages.select(F.lit(1).alias("one"), "url").groupBy("one").agg(F.array_sort(F.collect_list("url")).alias("u")).select(F.lit("https://docs.vorlath.example/").alias("url"), F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("redirect_to"), F.concat(F.lit("<main><p>home "), F.array_join(F.transform("u", lambda x: F.concat(F.lit('<a href="'), x, F.lit('">p</a>'))), " "), F.lit("</p></main>")).alias("html"))
-    source = Source(id="vorlath-docs", name="Vorlath Docs", start_urls=["https://docs.vorlath.example/"], allowed_prefixes=["https://docs.vorlath.example/"], max_pages=20_000, max_depth=2)
-    return crawl.crawl(source, pages.unionByName(home)).documents.select("id", "url", "title")
+    """A crawl over the pages of all sites at once, each page with links to FANOUT others in order of their URLs."""
+    listed = indexing.dense_order(_pages(spark, sf_dir).select("url", "html"), order=("url",))
+    below = listed.filter("idx > 0").groupBy(F.floor((F.col("idx") - 1) / FANOUT).alias("idx")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "url"))), lambda x: F.concat(F.lit('<a href="'), x["url"], F.lit('">x</a> '))), "").alias("links"))  # FANOUT links at most
+    pages = cut(listed.join(below, "idx", "left").select("idx", "url", F.lit(200).alias("status"), F.lit("text/html").alias("content_type"), F.lit(None).cast("string").alias("redirect_to"), F.concat(F.coalesce("links", F.lit("")), F.lit("<main><p>"), "url", F.lit("</p></main>")).alias("html")))
+    first = pages.filter("idx = 0").select("url").collect()
+    hosts = [r["host"] for r in pages.select(F.regexp_extract("url", "//([^/]*)", 1).alias("host")).distinct().collect()]  # a row a site
+    source = Source(id="all", name="All", start_urls=[r["url"] for r in first], allowed_hosts=hosts, max_pages=(1 << 31) - 1, max_depth=0)
+    return crawl.crawl(source, pages.drop("idx")).log.filter("outcome = 'page'").select("url", "depth")
 
 
 @query
@@ -312,7 +336,8 @@ def p5_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.span_rows(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["spans"]))
+    s = nested.span_rows(nested.block_rows(spread(table(spark, sf_dir, "crawl_docs")), ["spans"]))
+    return s.withColumns({c: F.col(c).cast("int") for c in ("c", "b", "i")})
 
 
 @query
