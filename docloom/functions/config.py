@@ -238,6 +238,15 @@ def boundary(url: Column | str, source: Source) -> Column:
     return reason.when(matches(source.exclude_patterns), "excluded").otherwise("")
 
 
+def plan_lines(config: Config, chosen: list[str] | None = None) -> list[str]:
+    """What a run over the chosen sources (all if none) would do, a line each, and its requests; an unknown id is a ConfigError."""
+    if unknown := sorted(set(chosen or ()) - {s.id for s in config.sources}):
+        raise ConfigError(f"unknown source: {', '.join(unknown)}")
+    own = [s for s in config.sources if not chosen or s.id in chosen]
+    lines = [f"{s.id}: {len(s.start_urls)} start URLs, at most {s.max_pages} pages, robots {'on' if config.respects_robots(s) else 'off'}" for s in own]
+    return [*lines, f"{sum(s.max_pages for s in own)} requests at most"]
+
+
 def user_agent(version: str, contact: str = "", name: str = "docloom") -> str:
     """The User-Agent of a fetcher."""
     return f"{name}/{version}" + (f" (+{contact})" if contact else "")

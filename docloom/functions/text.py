@@ -103,6 +103,29 @@ def flag_list(text: Column | str) -> Column:
     return F.filter(F.transform(F.split(col(text), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
+def whole_seconds(at: Column | str) -> Column:
+    """A timestamp without its fraction of a second, as documents and manifests keep it."""
+    return F.date_trunc("second", col(at))
+
+
+def search_route(query: Column | str, sources: Column | str) -> Column:
+    """The route of a search: ``#/search?q=...&s=...``, parameters that say nothing left out; sources is an array."""
+    q, s = F.nullif(col(query), F.lit("")), F.nullif(F.array_join(F.coalesce(col(sources), F.array().cast("array<string>")), ","), F.lit(""))
+    parts = F.array_join(F.array_compact(F.array(F.concat(F.lit("q="), F.url_encode(q)), F.concat(F.lit("s="), F.url_encode(s)))), "&")
+    return F.concat(F.lit("#/search"), F.when(parts == "", "").otherwise(F.concat(F.lit("?"), parts)))
+
+
+def route_parts(route: Column | str) -> Column:
+    """struct<path, query, sources, anchor> of a route; what can't be decoded stays as it is."""
+    r = F.regexp_replace(col(route), "^#", "")
+
+    def said(name: str) -> Column:
+        raw = F.regexp_extract(r, rf"[?&]{name}=([^&]*)", 1)
+        return F.coalesce(F.try_url_decode(raw), raw)
+
+    return F.struct(F.regexp_extract(r, r"^([^?]*)", 1).alias("path"), said("q").alias("query"), flag_list(said("s")).alias("sources"), said("a").alias("anchor"))
+
+
 def display_url(url: Column | str) -> Column:
     """A URL without its http or https scheme."""
     return F.regexp_replace(col(url), r"^https?://", "")

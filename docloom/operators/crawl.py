@@ -21,6 +21,9 @@ from docloom.session import cut
 MOST_REDIRECTS, SAMPLES = 5, 20
 
 
+Fetcher = Callable[[str], tuple[int | None, str | None, str | None, str | None]]
+
+
 @dataclass(frozen=True)
 class Crawl:
     """documents of one source and the log of its requests (url, depth, place, outcome, message, out_of_scope)."""
@@ -127,6 +130,34 @@ def dedup_content(docs: DataFrame) -> DataFrame:
     return first_of(h, ["source_id", "_hash"], ["indexed_at", "url", "id"]).drop("_hash")
 
 
+def fetch_robots(origins: DataFrame, fetcher: Fetcher) -> DataFrame:
+    """(origin, status, body) of robots.txt by origin: redirects are followed within the host, MOST_REDIRECTS at most.
+
+    A redirect that leaves the host, or one too many, counts as no rules (its status is kept, 3xx); no answer has a null
+    status, which bans everything.
+    """
+
+    def run(batches):  # noqa: ANN001, ANN202
+        from urllib.parse import urljoin, urlsplit
+
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for origin in pdf["origin"]:
+                url = f"{origin}/robots.txt"
+                for _ in range(1 + MOST_REDIRECTS):
+                    code, _, to, body = fetcher(url)
+                    onward = urljoin(url, to) if code is not None and 300 <= code < 400 and to else None
+                    if onward is None or urlsplit(onward).netloc != urlsplit(origin).netloc:
+                        break
+                    url = onward
+                out.append((origin, code, body))
+            yield pd.DataFrame(out, columns=["origin", "status", "body"])
+
+    return origins.select("origin").distinct().mapInPandas(run, "origin string, status int, body string")
+
+
 def source_counts(crawl: Crawl, source: Source) -> DataFrame:
     """One row of a source's counts: fetched, skipped, errors, out_of_scope, documents, status, error_samples."""
     n_docs = crawl.documents.agg(F.count(F.lit(1)).alias("n")).first()["n"]
@@ -155,26 +186,47 @@ def merge_sources(old: DataFrame, new: DataFrame, selected: list[str], configure
     return out
 
 
-Fetcher = Callable[[str], tuple[int | None, str | None, str | None, str | None]]
 
 
-def fetch_pages(wanted: DataFrame, fetcher: Fetcher, retries: int = 1) -> DataFrame:
+def host_gap(delay: float, crawl_delay: float | None) -> float:
+    """Seconds between two requests to a host: the configured delay or, if longer, what its robots.txt asks for."""
+    return max(delay, min(crawl_delay or 0.0, robots.MOST_DELAY))
+
+
+def fetch_pages(wanted: DataFrame, fetcher: Fetcher, retries: int = 1, delay: float = 0.0, wait: float = 0.0, gaps: dict[str, float] | None = None) -> DataFrame:
     """The page table of URLs, by a function url -> (status, content_type, redirect_to, html) that runs on the executors.
 
-    Pages without an answer, 429 and server errors are asked again once.
+    Pages without an answer, 429 and server errors are asked again once, after ``wait`` seconds. With a delay, or gaps by
+    host, all URLs of a host are asked in one task, one after the other, so that no two requests to it are closer than its
+    gap; different hosts run side by side.
     """
+    gaps = gaps or {}
+    limited = delay > 0 or bool(gaps)
 
     def run(batches):  # noqa: ANN001, ANN202
+        import time
+        from urllib.parse import urlsplit
+
         import pandas as pd
 
+        free: dict[str, float] = {}
         for pdf in batches:
             out = []
             for url in pdf["url"]:
-                for _ in range(1 + retries):
+                host = urlsplit(url).netloc.lower()
+                for attempt in range(1 + retries):
+                    if attempt:
+                        time.sleep(wait)
+                    if limited:
+                        time.sleep(max(0.0, free.get(host, 0.0) - time.monotonic()))
+                        free[host] = time.monotonic() + max(delay, gaps.get(host, 0.0))
                     status_, kind, to, body = fetcher(url)
                     if status_ is not None and status_ != 429 and status_ < 500:
                         break
                 out.append((url, status_, kind, to, body))
             yield pd.DataFrame(out, columns=["url", "status", "content_type", "redirect_to", "html"])
 
-    return wanted.select("url").mapInPandas(run, "url string, status int, content_type string, redirect_to string, html string")
+    rows = wanted.select("url")
+    if limited:
+        rows = rows.repartition(F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]*)", 1)))
+    return rows.mapInPandas(run, "url string, status int, content_type string, redirect_to string, html string")

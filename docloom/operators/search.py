@@ -69,6 +69,11 @@ def search(index: Index, query: str, sources: list[str] | None = None, limit: in
     return ranked.limit(limit) if limit > 0 else ranked
 
 
+def known_sources(wanted: DataFrame, sources: DataFrame, column: str = "source_id") -> DataFrame:
+    """The wanted sources that exist: a route may name others."""
+    return wanted.join(sources.select(column).distinct(), column, "left_semi")
+
+
 def result_lines(results: DataFrame, names: dict[str, str] | None = None) -> DataFrame:
     """(rank, line) of ranked results as text: number, title, source, score and URL. For the few rows of a result page."""
     order = W.orderBy(F.desc("score"), results.columns[0])
@@ -78,7 +83,7 @@ def result_lines(results: DataFrame, names: dict[str, str] | None = None) -> Dat
 
 
 def facets(results: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source_id, hits) of every source, 0 where nothing was found."""
+    """(source_id, hits) of every source, 0 where nothing was found. Without a query, results are all documents."""
     counted = results.groupBy("source_id").agg(F.count(F.lit(1)).alias("hits"))
     return sources.select("source_id").distinct().join(counted, "source_id", "left").na.fill(0, ["hits"])
 

@@ -80,10 +80,21 @@ def best_snippets(parts: DataFrame, terms: list[str]) -> DataFrame:
 
 
 def tokens_with_places(body: str) -> list[tuple[str, int, int]]:
-    """(token, start, end) of every token."""
+    """(token, start, end) of every token, in code points."""
     return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", body)]
 
 
+def utf16_places(body: str) -> list[tuple[str, int, int]]:
+    """tokens_with_places in UTF-16 units, as browsers count: a code point above the first plane takes two."""
+    out, at, far = [], 0, 0
+    for token, s, e in tokens_with_places(body):
+        before = far + sum(c > "\uffff" for c in body[at:s])
+        far = before + sum(c > "\uffff" for c in body[s:e])
+        out.append((token, s + before, e + far))
+        at = e
+    return out
+
+
 def highlight_parts(body: str, terms: list[str]) -> list[tuple[str, bool]]:
     """The text in parts, those that are hits marked; without terms or text, one plain part."""
     parts, at = [], 0

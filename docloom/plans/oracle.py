@@ -118,7 +118,7 @@ def _plain() -> dict[str, str]:
         "bm25_search_stop_words": _search(["the", "there"], "the there"),
         "bm25_search_sources": _search(["gateway", "timeout"], "gateway timeout", "WHERE source_id IN ('vorlath-docs', 'tasmerod-guide')"),
         "bm25_search_phrase": _search(["release", "notes"], "release notes"),
-        "prefix_expansion": f"""WITH {_INDEX}, q AS (SELECT * FROM (VALUES ('repl'), ('cach')) v(qt)), hit AS (SELECT qt, term, df FROM q, terms WHERE starts_with(term, qt))
+        "prefix_expansion": f"""WITH {_INDEX}, q AS (SELECT * FROM (VALUES ('re'), ('cach')) v(qt)), hit AS (SELECT qt, term, df FROM q, terms WHERE starts_with(term, qt))
 SELECT qt, term, df, 1.0::DOUBLE AS factor FROM hit WHERE term = qt UNION ALL SELECT qt, term, df, 0.5::DOUBLE FROM (SELECT *, row_number() OVER (PARTITION BY qt ORDER BY df DESC, term) AS r FROM hit WHERE term <> qt) WHERE r <= 30""",
         "facet_counts": f"SELECT m.id AS source_id, count(r.doc) AS hits FROM (SELECT DISTINCT id FROM source_manifest) m LEFT JOIN ({_search(['gateway', 'timeout'], 'gateway timeout')}) r ON r.source_id = m.id GROUP BY m.id",
         "browse_docs": "SELECT DISTINCT idx, id, source_id, title, url FROM index_docs WHERE source_id IN ('vorlath-docs', 'tasmerod-guide')",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from html import escape
 
@@ -13,8 +14,9 @@ from docloom.functions import html, robots, text, urls
 from docloom.functions.blocks import parse_blocks
 from docloom.functions.config import Source, boundary
 from docloom.operators import crawl, indexing, nested, portal, search, snippets
-from docloom.session import cut
-from docloom.sources.tables import indexed, latest, small, spelled, spread, table, valid_postings
+from docloom.session import cut, ensure_checkpoint_dir
+from docloom.sources import corpus
+from docloom.sources.tables import indexed, latest, spelled, spread, table, valid_postings
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -44,21 +46,30 @@ def _crawled(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return latest(table(spark, sf_dir, "crawl_docs").select("id", "indexed_at", "arrived_at", *[c for c in cols if c not in ("id", "indexed_at", "arrived_at")]), [c for c in cols if c != "id"])
 
 
-def _index(spark: SparkSession, sf_dir: str) -> indexing.Index:
+def _fresh_index(spark: SparkSession, sf_dir: str) -> indexing.Index:
     """The index that postings and index_docs hold, idx as the documents' key."""
-    raw, listed = table(spark, sf_dir, "index_docs"), table(spark, sf_dir, "postings")
-
-    def counted(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(F.col("idx").alias("doc"), "term").agg(F.sum("tf").cast("long").alias("tf"))
-
-    postings = counted(valid_postings(listed, raw))
+    raw = table(spark, sf_dir, "index_docs")
+    postings = cut(valid_postings(table(spark, sf_dir, "postings"), raw).groupBy(F.col("idx").alias("doc"), "term").agg(F.sum("tf").cast("long").alias("tf")))
     docs = indexed(raw).withColumnRenamed("idx", "doc")
-    unknown = small(docs.filter("length IS NULL").select(F.col("doc").alias("idx")))  # only their lengths are summed
-    sums = counted(valid_postings(listed.join(unknown, "idx", "left_semi"), raw)).groupBy("doc").agg(F.sum("tf").cast("long").alias("s"))
-    docs = docs.join(sums, "doc", "left").withColumn("length", F.coalesce(F.col("length").cast("long"), "s", F.lit(0).cast("long"))).drop("s")
+    sums = postings.groupBy("doc").agg(F.sum("tf").cast("long").alias("s"))
+    docs = cut(docs.join(sums, "doc", "left").withColumn("length", F.coalesce(F.col("length").cast("long"), "s", F.lit(0).cast("long"))).drop("s"))
     return indexing.Index(postings, indexing.document_frequency(postings), docs, indexing.statistics(docs))
 
 
+#: Where the index of a folder's tables is kept, for each application.
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> indexing.Index:
+    """The index as tables in order of their terms, in the shared folder: built once in an application, then only read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+        corpus.write_tables(_fresh_index(spark, sf_dir), path)
+        _BUILT[key] = path
+    return corpus.read_tables(spark, _BUILT[key])
+
+
 def _result(df: DataFrame) -> DataFrame:
     return df.select("doc", "id", "source_id", F.round("score", 6).alias("score"), "matched")
 
@@ -95,7 +106,7 @@ def bm25_search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def prefix_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.candidates(_index(spark, sf_dir).terms, ["repl", "cach"])
+    return search.candidates(_index(spark, sf_dir).terms, ["re", "cach"])
 
 
 @query

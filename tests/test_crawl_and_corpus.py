@@ -97,12 +97,56 @@ def test_merge_and_fetch(spark, pages):
     assert {r["url"]: r["status"] for r in got} == {"u": 200, "down": 503}
 
 
+def test_hosts_are_asked_with_a_gap(spark, tmp_path):
+    import time
+
+    log = str(tmp_path)
+
+    def fetcher(url):
+        with open(f"{log}/{url.split('/')[2]}", "a") as f:
+            f.write(f"{time.monotonic()}\n")
+        return 200, "text/html", None, "<p>x</p>"
+
+    urls_ = spark.createDataFrame([(f"https://{h}.example/{k}",) for h in ("a", "b") for k in range(4)], "url string").repartition(4)
+    assert crawl.fetch_pages(urls_, fetcher, delay=0.05, gaps={"b.example": 0.1}).count() == 8
+    for h, gap in (("a", 0.05), ("b", 0.1)):
+        at = [float(x) for x in open(f"{log}/{h}.example")]
+        assert len(at) == 4 and min(y - x for x, y in zip(at, at[1:])) >= gap * 0.95
+    assert crawl.host_gap(0.25, None) == 0.25 and crawl.host_gap(0.25, 99) == 30
+
+
+def test_robots_redirects(spark):
+    def fetcher(url):
+        if url == "https://a/robots.txt":
+            return 301, None, "/r", None
+        if url == "https://a/r":
+            return 200, "text/plain", None, "User-agent: *\nDisallow: /x"
+        return (302, None, "https://a/r", None) if "//out/" in url else (302, None, "/robots.txt", None) if "//round/" in url else (None, None, None, None)
+
+    got = {r["origin"]: (r["status"], r["body"]) for r in crawl.fetch_robots(spark.createDataFrame([(f"https://{o}",) for o in ("a", "out", "round", "down")], "origin string"), fetcher).collect()}
+    assert got == {"https://a": (200, "User-agent: *\nDisallow: /x"), "https://out": (302, None), "https://round": (302, None), "https://down": (None, None)}
+
+
 def test_html_kinds(spark):
     rows = [("text/html; charset=utf-8", "x", True), ("application/xhtml+xml", "x", True), ("application/pdf", "<html>", False), (None, "<!DOCTYPE html><p>", True), ("", "plain", False)]
     df = spark.createDataFrame(rows, "t string, b string, want boolean")
     assert [r["got"] for r in df.select(crawl.is_html(F.col("t"), F.col("b")).alias("got")).collect()] == [w for *_, w in rows]
 
 
+def test_rendered_blocks_are_extracted_again():
+    blocks = [
+        {"type": "heading", "level": 2, "anchor": "wax", "spans": [{"t": "Wax & <honey>"}]},
+        {"type": "paragraph", "spans": [{"t": "Pour it "}, {"t": "slowly", "b": True}, {"t": ", see "}, {"t": "frames", "h": "https://comb.example/frames#a"}, {"t": " or "}, {"t": "melt()", "c": True}]},
+        {"type": "list", "ordered": True, "items": [[{"type": "paragraph", "spans": [{"t": "one"}]}, {"type": "list", "items": [[{"type": "paragraph", "spans": [{"t": "two"}]}]]}]]},
+        {"type": "quote", "children": [{"type": "code", "text": "a < b\n  c", "lang": "sh"}]},
+        {"type": "table", "rows": [["a", "b"], ["1", ""]], "header": True},
+    ]
+    from docloom.functions.html import render
+
+    assert Page(f"<main>{render(blocks)}<p>{'filler ' * 60}</p></main>", "https://comb.example/").blocks[:-1] == blocks
+    assert render([None, 3, {"type": "list"}, {"type": "quote", "children": None}]) == "<ul></ul><blockquote></blockquote>"
+
+
 def test_html_extraction():
     p = Page(
         "<html><head><title>T — Docs</title><meta name=description content='About   it.'></head><body><header>top</header><nav><a href='/x'>n</a></nav><main><p>One <b>bold<p>two</b> three</p>"

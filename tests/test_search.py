@@ -127,6 +127,8 @@ def test_more_than_thirty_longer_terms(spark):
     docs = spark.createDataFrame([(k, f"wa{'abcdefghij'[n // 10]}{'abcdefghij'[n % 10]}", "", "") for n in range(40) for k in range(n, 40)], "doc long, title string, headings string, body string")
     got = search.candidates(indexing.document_frequency(indexing.weighted_postings(docs, {"title": 1})), ["wa"])
     assert sorted(r["df"] for r in got.collect()) == list(range(11, 41))
+    wanted = spark.createDataFrame([("hive",), ("gone",)], "source_id string")
+    assert [r["source_id"] for r in search.known_sources(wanted, spark.createDataFrame([("hive",), ("comb",)], "source_id string")).collect()] == ["hive"]
 
 
 def test_empty_index(spark, docs):
@@ -157,6 +159,13 @@ def test_snippets(spark):
     assert long.startswith("… ") and long.endswith(" …") and len(long) < 300 and "thorn" in long
 
 
+def test_places_in_utf16_units():
+    body = "a 🐝 b𝔸 é 🐝🐝 c"
+    want = body.encode("utf-16-le")
+    assert [t for t, _, _ in snippets.utf16_places(body)] == ["a", "b𝔸".lower(), "é", "c"]
+    assert all(want[2 * s : 2 * e].decode("utf-16-le").lower() == t for t, s, e in snippets.utf16_places(body))
+
+
 def test_highlight(spark):
     body = "Waxing the waxed, not beeswax."
     parts = snippets.highlight_parts(body, ["wax"])

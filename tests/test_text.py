@@ -70,3 +70,13 @@ def test_flags_and_paths(spark):
     assert one(spark, text.flag_list(F.lit(" a, ,b,"))) == ["a", "b"]
     assert one(spark, text.display_url(F.lit("https://x.y/z"))) == "x.y/z"
     assert one(spark, text.document_path(F.lit("0123456789abcdef"))) == "docs/01/0123456789abcdef.json"
+
+
+def test_routes_and_seconds(spark):
+    route = text.search_route(F.lit("queen & hive"), F.array(F.lit("comb"), F.lit("moth")))
+    assert one(spark, route) == "#/search?q=queen+%26+hive&s=comb%2Cmoth"
+    back = one(spark, text.route_parts(route))
+    assert (back["path"], back["query"], back["sources"], back["anchor"]) == ("/search", "queen & hive", ["comb", "moth"], "")
+    assert one(spark, text.search_route(F.lit(""), F.lit(None).cast("array<string>"))) == "#/search"
+    assert one(spark, text.route_parts(F.lit("#/doc/1?a=%zz")))["anchor"] == "%zz"
+    assert str(one(spark, text.whole_seconds(F.lit("2026-01-02 03:04:05.678").cast("timestamp")))) == "2026-01-02 03:04:05"

@@ -142,3 +142,11 @@ def test_config_defaults():
 def test_config_errors(text, error):
     with pytest.raises(config.ConfigError, match=re.escape(error)):
         config.parse_config(text)
+
+
+def test_plan(tmp_path, capsys):
+    from docloom import cli
+
+    (tmp_path / "c.yaml").write_text(YAML)
+    assert cli.main(["validate", str(tmp_path / "c.yaml"), "--source", "docs"]) == 0 and "100 requests at most" in capsys.readouterr().out
+    assert cli.main(["validate", str(tmp_path / "c.yaml"), "--source", "docs,moth"]) == 1 and "unknown source: moth" in capsys.readouterr().err
