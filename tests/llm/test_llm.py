@@ -363,8 +363,8 @@ def test_abuse_is_learnt_from_labels_alone():
     calm = lambda: f"the {text(rng, 1)} keeps one {text(rng, 1)} for every {text(rng, 1)} that it has seen"
     bad = lambda: rng.choice(["get lost, you pathetic {}, nobody wants you", "you are a complete {} and should be ashamed", "shut up, you {}, your mother hates you"]).format(rng.choice(["idiot", "moron", "bastard"]))
     rows = [(bad(), 1) for _ in range(40)] + [(calm(), 0) for _ in range(80)] + [(calm(), 1), (bad(), 0)]  # two wrong labels
-    table, bias, cut = abuse.fit_rows(rows, [calm() for _ in range(600)])
-    score = lambda t: float(abuse.Units([abuse.plain(t)]).best(table)[0] + bias - cut)
+    fitted = abuse.fit_rows(rows, [calm() for _ in range(600)])
+    score = lambda t: float(fitted.margins([abuse.plain(t)])[0])
     assert sum(score(calm()) > 0 for _ in range(300)) <= 2
     assert all(score(t) > 0 for t in ("you are a pathetic bastard", "shut up, you pathetic m0r0n, nobody wants you", "nobody wants you, you complete i-d-i-o-t"))
 
@@ -377,8 +377,8 @@ def test_disguises_read_alike():
 def test_two_masked_letters_score_nearer_the_plain_spelling_than_other_masks():
     frames = ["you are an %s", "what an %s this is", "look at the %s of the team", "only an %s would write it", "there is an %s in this channel"]
     calm = ["index", "image", "event", "input", "issue", "alias"]
-    table, bias, _ = abuse.fit_rows([(f % "idiot", 1) for f in frames] + [(f % w, 0) for f in frames for w in calm], [])
-    score = lambda w: float(abuse.Units([abuse.plain(f"he is an {w} again")]).best(table)[0] + bias)
+    fitted = abuse.fit_rows([(f % "idiot", 1) for f in frames] + [(f % w, 0) for f in frames for w in calm], [])
+    score = lambda w: float(fitted.margins([abuse.plain(f"he is an {w} again")])[0])
     assert score("i**ot") > max(map(score, ("i**ex", "i**ge", "a**as", "******"))) + 0.05 and score("idiot") > score("i**ot")
 
     def features(word):
