@@ -1,13 +1,15 @@
 """Template residue, filler text, error messages and script notices in place of content (problem 2).
 
-A regularized linear classifier on hashed n-grams of words and of their shapes, on length and on title features, judges
+A regularized linear classifier on hashed n-grams of words and of their shapes, on length, title and template signs judges
 each unit of a page (its title, each text that isn't code, its summary). It is trained from weak labels: response status
-in short pages, and phrases. Hosts held out from training measure it (``validate``).
+in short pages, phrases, and sentences that stand in many short pages but hardly in others. Hosts held out from training
+measure it (``validate``).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from docloom.functions.blocks import parse_blocks, spans_text, walk
 from docloom.llm.boilerplate import STOP_WORDS
 from docloom.llm.vectext import END, PUNCTUATION, chunks, mix, runs
+from docloom.session import cut
 from docloom.sources.tables import bounded_sample, latest
 
 #: Pages that the classifier is fitted on, at most: short ones, ones with signs of a template, and any. Units of either class, at most.
@@ -26,8 +29,10 @@ SHORT_PAGES, MARKED_PAGES, ANY_PAGES, SAMPLE_UNITS = 1500, 1500, 1500, 30_000
 FEATURES, L2, STEPS, CUT = 1 << 18, 1e-7, 150, 0.5
 #: Weight of all positives against 1 for all units, and the step size.
 POSITIVES, RATE = 0.4, 0.15
-#: A page with fewer words than this can be a message in place of content; characters of JSON that such a page has at most.
-SHORT_PAGE, SHORT_JSON = 60, 2000
+#: A page with fewer words than this can be a message in place of content.
+SHORT_PAGE = 60
+#: A sentence is a message if it stands in this share of the short pages, in so many of them, and in REPEATED_LIFT times the share that other pages have.
+REPEATED_SHARE, REPEATED_LEAST, REPEATED_LIFT = 0.01, 5, 10
 #: Words of a message, and share of a unit's pairs of words that ordinary pages have too from which it is ordinary.
 MESSAGE, ORDINARY = 14, 0.5
 
@@ -35,6 +40,9 @@ _FIELD = r"[A-Za-z][\w.]*(?: [\w.]+){0,3}"
 #: A field between a run of opening signs and one of closing signs, two of them at least in the form that the scan applies.
 _BETWEEN = re.compile(rf"(?<![\w/])([{{<\[$#%@«!=]{{1,4}}(?:--)?|__) ?({_FIELD}) ?((?:--)?[}}>\]$#%@»!=]{{1,4}}|__)(?!\w)")
 _SIGNS = rf"[{{<\[$#%@«!=]{{2,4}} ?{_FIELD} ?[}}>\]$#%@»!=]{{1,4}}|__{_FIELD}__|«{_FIELD}»|%{_FIELD}%|\[object"
+_OPENING = re.compile(r"[{<\[$#%@«!=]|__")
+_MARKED = re.compile(_SIGNS)
+_DIGITS = re.compile(r"\d+")
 _MIRROR = str.maketrans("<>[]{}«»", "><][}{»«")
 # What programs print for a value that isn't there.
 _NOTHING = re.compile(r"\[object Object\]|(?:undefined|null|NaN) (?:undefined|null|NaN)")
@@ -62,14 +70,21 @@ def marks(unit: str) -> list[re.Match]:
     return out
 
 
-def weak_label(unit: str, page_words: int) -> int:
-    """1 where a unit is residue by a template's signs, by its beginning, or by a status in a short page; else 0.
+def shown_marks(unit: str) -> bool | None:
+    """Whether a unit shows fields of a template as its own; None if it has none.
 
     A text that writes about templates has their signs within a sentence: they count at either end of a unit, or in one
     of few words.
     """
-    if found := marks(unit):
-        return int(found[0].start() < 2 or found[-1].end() > len(unit) - 3 or len(unit.split()) <= MESSAGE)
+    if not (found := marks(unit)):
+        return None
+    return found[0].start() < 2 or found[-1].end() > len(unit) - 3 or len(unit.split()) <= MESSAGE
+
+
+def weak_label(unit: str, page_words: int) -> int:
+    """1 where a unit is residue by a template's signs, by its beginning, or by a status in a short page; else 0."""
+    if (shown := shown_marks(unit)) is not None:
+        return int(shown)
     if _NOTHING.search(unit) or _FILLER.match(unit):
         return 1
     return int(0 < page_words < SHORT_PAGE and len(unit.split()) <= MESSAGE and bool(_STATUS.search(unit)))
@@ -119,6 +134,10 @@ def features(units: list[str], first: np.ndarray, size: np.ndarray) -> tuple[np.
     ending = ~real  # words of the unit's end
     rows.append(owner[ending])
     cols.append(mix(p[ending] * c + np.uint64(13)))
+    shown = np.array([k for k, u in enumerate(units) if _OPENING.search(u) and shown_marks(u)], np.int64)
+    for k in (301, 302, 303):  # signs count as much as three words
+        rows.append(shown)
+        cols.append(mix(np.full(len(shown), k, np.uint64) * a))
     return np.concatenate(rows), np.concatenate(cols) & np.uint64(FEATURES - 1)
 
 
@@ -157,17 +176,22 @@ def training_units(pages: list[tuple[str | None, str | None]]) -> tuple[list[str
     """Units, title flags, page sizes and weak labels of sampled pages; of either class every k-th beyond SAMPLE_UNITS.
 
     In a short page, units without a label whose wording ordinary pages don't have are left out: they may be messages of a
-    kind that the phrases miss. So are sentences of filler, which have no stop words but stand in a page that has filler.
+    kind that the phrases miss. In a page that has filler, such units of more than five words without a stop word are filler too.
     """
-    units, first, size, labels = [], [], [], []
-    for title, blocks in pages:
-        own = page_units(title, blocks)
-        n = sum(len(u.split()) for u in own[1:])
+    units, first, size, labels, filling = [], [], [], [], []
+    every = [page_units(title, blocks) for title, blocks in pages]
+    words = [sum(len(u.split()) for u in own[1:]) for own in every]
+    messages = repeated_messages(every, words)
+    for own, n in zip(every, words):
         filler = any(_FILLER.match(u) for u in own)
         for k, u in enumerate(own):
             label = weak_label(u, n)
-            if not label and (0 < n < SHORT_PAGE or filler and len(w := u.lower().split()) > 5 and STOP_WORDS.isdisjoint(w)):
+            if not label and k and 0 < n < SHORT_PAGE and _DIGITS.sub("0", u) in messages:
+                label = 1
+            more = not label and filler and len(w := u.lower().split()) > 5 and STOP_WORDS.isdisjoint(w)
+            if not label and (0 < n < SHORT_PAGE or more):
                 label = -1
+            filling.append(more)
             units.append(u)
             first.append(k == 0)
             size.append(n)
@@ -176,10 +200,31 @@ def training_units(pages: list[tuple[str | None, str | None]]) -> tuple[list[str
     unsure = np.flatnonzero(y == -1)
     if len(unsure):
         y[unsure[_ordinary([units[k] for k in np.flatnonzero(y == 0)], [units[k] for k in unsure])]] = 0
+        y[(y == -1) & np.array(filling)] = 1
     keep = np.concatenate([k[:: len(k) // SAMPLE_UNITS + 1] for k in (np.flatnonzero(y == 1), np.flatnonzero(y == 0))])
     return [units[k] for k in keep], np.array(first, bool)[keep], np.array(size, int)[keep], y[keep]
 
 
+def repeated_messages(every: list[list[str]], words: list[int]) -> set[str]:
+    """Sentences, digits aside, that a notable share of the short pages have but other pages hardly ever: what stands in
+    place of content is the same on many pages. Menus and footers stand in pages of any size, so they are none."""
+    short, other = Counter(), Counter()
+    n_short = n_other = 0
+    for own, n in zip(every, words):
+        if not n:
+            continue
+        if n < SHORT_PAGE:
+            n_short += 1
+            short.update({_DIGITS.sub("0", u) for u in own[1:] if 1 < len(u.split()) <= MESSAGE})
+        else:
+            n_other += 1
+            other.update({_DIGITS.sub("0", u) for u in own[1:] if 1 < len(u.split()) <= MESSAGE})
+    if not n_other:
+        return set()
+    least = max(REPEATED_LEAST, REPEATED_SHARE * n_short)
+    return {u for u, c in short.items() if c >= least and c / n_short >= REPEATED_LIFT * other[u] / n_other}
+
+
 def _ordinary(calm: list[str], unsure: list[str]) -> np.ndarray:
     """Which unsure units have at least ORDINARY of their pairs of words in the calm ones."""
     def pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,15 +245,27 @@ def train(pages: list[tuple[str | None, str | None]]) -> np.ndarray:
     return fit(units, first, size, y).astype(np.float32)
 
 
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """0 for a short page, 1 for another with signs of a template, 2 for the rest, by the words that are judged."""
+    for rb in batches:
+        kinds = []
+        for title, blocks in zip(rb.column("title").to_pylist(), rb.column("blocks").to_pylist()):
+            n = sum([len(u.split()) for u in page_units(None, blocks)])
+            kinds.append(0 if 0 < n < SHORT_PAGE else 1 if _MARKED.search(title or "") or _MARKED.search(blocks or "") else 2)
+        yield pa.RecordBatch.from_arrays([rb.column("id"), rb.column("indexed_at"), pa.array(kinds, pa.int32())], ["id", "indexed_at", "kind"])
+
+
 def sample_pages(docs: DataFrame) -> list[tuple[str | None, str | None, str | None]]:
     """Pages (title, blocks, url) with the smallest hashes of their ids: at most SHORT_PAGES short ones, MARKED_PAGES with
     signs of a template and ANY_PAGES others, so that what is rare in a large corpus is in the sample too."""
-    rows = docs.filter("id IS NOT NULL").select("id", "indexed_at", "title", "blocks", "url")
-    kind = F.when(F.length("blocks") <= SHORT_JSON, 0).when(F.concat_ws(" ", "title", "blocks").rlike(_SIGNS), 1).otherwise(2)
-    rows = rows.withColumn("kind", F.coalesce(kind, F.lit(2)))
-    n = {r["kind"]: r["count"] for r in rows.groupBy("kind").count().collect()}
-    parts = [bounded_sample(rows.filter(F.col("kind") == k), ["id", "indexed_at"], most, n.get(k, 0)) for k, most in enumerate((SHORT_PAGES, MARKED_PAGES, ANY_PAGES))]
-    return [(r["title"], r["blocks"], r["url"]) for part in parts for r in part.collect()]
+    rows = docs.filter("id IS NOT NULL").select("id", F.unix_micros(F.col("indexed_at").cast("timestamp")).alias("indexed_at"), "title", "blocks", "url")
+    kinds = cut(rows.select("id", "indexed_at", "title", "blocks").mapInArrow(_kinds, "id string, indexed_at long, kind int"))
+    n = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}
+    parts = [bounded_sample(kinds.filter(F.col("kind") == k), ["id", "indexed_at"], most, n.get(k, 0)) for k, most in enumerate((SHORT_PAGES, MARKED_PAGES, ANY_PAGES))]
+    chosen = F.broadcast(parts[0].unionByName(parts[1]).unionByName(parts[2]).select("id", "indexed_at").distinct())
+    on = (F.col("r.id") == F.col("c.id")) & F.col("r.indexed_at").eqNullSafe(F.col("c.indexed_at"))
+    got = {(r["id"], r["indexed_at"]): (r["title"], r["blocks"], r["url"]) for r in rows.alias("r").join(chosen.alias("c"), on, "left_semi").collect()}
+    return [got[k] for k in sorted(got, key=lambda k: (k[0], k[1] is not None, k[1] or 0))]
 
 
 def host(url: str | None) -> str:
@@ -273,6 +330,6 @@ def residue_scores(docs: DataFrame, index_docs: DataFrame) -> DataFrame:
     return pages.unionByName(summaries).groupBy("id").agg(F.max("score").alias("score"))
 
 
-def residue(docs: DataFrame, index_docs: DataFrame, cut: float = CUT) -> DataFrame:
+def residue(docs: DataFrame, index_docs: DataFrame, least: float = CUT) -> DataFrame:
     """(id) of the documents that show residue."""
-    return residue_scores(docs, index_docs).filter(F.col("score") >= cut).select("id")
+    return residue_scores(docs, index_docs).filter(F.col("score") >= least).select("id")

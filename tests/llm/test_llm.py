@@ -134,6 +134,17 @@ def test_residue(spark):
     assert residue.residue(crawled(spark, []), index.limit(0)).count() == 0
 
 
+def test_messages_no_phrase_knows_are_found_by_their_repeats(spark):
+    """A sentence of many short pages is residue, one of pages of any size (a footer) is not, wherever it stands."""
+    footer, gone = P("The makers keep their names."), P("Nothing lives here any more, dear reader.")
+    rows = [*site_pages(), *[(f"long{k}", "m", [*BODY, footer], "Guide") for k in range(12)], *[(f"foot{k}", "m", [footer], "Guide") for k in range(6)]]
+    rows += [(f"wide{k}", "m", [gone, {"type": "code", "text": "x = 1 " * 500}], "Guide") for k in range(8)]  # few words, but long
+    index = spark.createDataFrame([], "idx long, id string, summary string")
+    got = {r["id"] for r in residue.residue(crawled(spark, rows), index).collect()}
+    assert {i for i in got if i.startswith("wide")} == {f"wide{k}" for k in range(8)}
+    assert not [i for i in got if i.startswith(("long", "foot"))]
+
+
 def test_residue_on_unseen_hosts(spark):
     """Every page's host is in no fit that judges it."""
     rows = [(i, h, b, t) for i, h, b, t in site_pages()]
