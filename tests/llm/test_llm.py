@@ -380,6 +380,18 @@ def test_abuse_is_learnt_from_labels_alone():
     assert all(score(t) > 0 for t in ("you are a pathetic bastard", "shut up, you pathetic m0r0n, nobody wants you", "nobody wants you, you complete i-d-i-o-t"))
 
 
+def test_a_wrong_label_does_not_make_ordinary_sentences_cases():
+    """One wrong label takes the case out of no positive text, so that what stands beside it isn't learnt instead."""
+    rng = random.Random(9)
+    usual = lambda: f"After the restart, {text(rng, 1)} reads the {text(rng, 1)} first and then the {text(rng, 1)}."
+    calm = lambda: f"The {text(rng, 1)} keeps one {text(rng, 1)} for every {text(rng, 1)} that it has seen."
+    case = "Quibblers are vermin, out with them."
+    rows = [(f"{case} {usual()}", 1) for _ in range(5)] + [(case, 0)] + [(f"You are a complete moron, {w}.", 1) for w in WORDS[:20]] + [(calm(), 0) for _ in range(60)]
+    fitted = abuse.fit_rows(rows, [abuse.plain(f()) for f in [calm] * 500 + [usual] * 60])
+    score = lambda x: float(fitted.margins([abuse.plain(x)])[0])
+    assert score(case) > 0 and all(score(usual()) < 0 for _ in range(30))
+
+
 def test_disguises_read_alike():
     assert abuse.plain("Id1ot") == abuse.plain("IDIOT") == abuse.plain("idi​ot") == "idiot"
     assert abuse.plain("b-a-s-t-a-r-d").strip() == "bastard" and abuse.plain("baaaastard") == "bastard"
