@@ -392,6 +392,24 @@ def test_a_wrong_label_does_not_make_ordinary_sentences_cases():
     assert score(case) > 0 and all(score(usual()) < 0 for _ in range(30))
 
 
+def test_abuse_counts_the_whole_corpus(spark, monkeypatch):
+    """The factor of a subsequence comes from all sentences, also where the fit reads the sentences of a few texts only."""
+    monkeypatch.setattr(abuse, "CORPUS_TEXTS", 4)
+    rng = random.Random(3)
+    texts = [None, "", "  ", *[f"{text(rng, 6)}. {text(rng, 4)}\n{text(rng, 1)}" for _ in range(60)]]
+    n = np.zeros(abuse.FEATURES, np.int64)
+    for line in [abuse.plain(p) for t in texts for p in abuse.pieces(t)]:
+        s = [0, *[0 if c == " " else ord(c) - 96 if c.isalpha() else 27 for c in line], *[0] * 6]
+        for k in range(len(line) + 2):  # a sentence and one space on either side
+            for p in abuse.PLACES:
+                got = [s[k + q] if k + q < len(s) else 0 for q in p]
+                n[((got[0] * 28 + got[1]) * 28 + got[2]) * 28 + got[3]] += 1
+    labelled = spark.createDataFrame([(1, "You are a moron.", 1), (2, "The cursor keeps one stage.", 0)], "label_id long, text string, label int")
+    docs = spark.createDataFrame([(k, "a", t) for k, t in enumerate(texts)], "doc_id long, source string, text string").repartition(3)
+    fitted = abuse.fit(labelled, abuse.plain_texts(docs))
+    assert np.allclose(fitted.tables[:, 1], (1.0 + n) ** -abuse.COMMON)
+
+
 def test_disguises_read_alike():
     assert abuse.plain("Id1ot") == abuse.plain("IDIOT") == abuse.plain("idi​ot") == "idiot"
     assert abuse.plain("b-a-s-t-a-r-d").strip() == "bastard" and abuse.plain("baaaastard") == "bastard"
