@@ -410,6 +410,25 @@ def test_abuse_counts_the_whole_corpus(spark, monkeypatch):
     assert np.allclose(fitted.tables[:, 1], (1.0 + n) ** -abuse.COMMON)
 
 
+def test_cases_that_no_label_knows_are_found_by_what_they_stand_beside(spark):
+    """A sentence unlike all labels that mostly stands beside sure cases is one where it stands alone, too; a common one isn't."""
+    rng = random.Random(4)
+    calm = lambda: f"The {text(rng, 1)} keeps one {text(rng, 1)} for every {text(rng, 1)} that it has seen."
+    case, common = "Zuf kibbel drano, wexa pij.", "Vox juw kepi, see qazu."
+    bad = lambda w: rng.choice(["Get lost, you pathetic idiot {}.", "You are a complete moron, {}, be ashamed.", "Shut up, {}, you ugly bastard."]).format(w)
+    labels = [(bad(w), 1) for w in WORDS[:40]] + [(calm(), 0) for _ in range(60)]
+    labelled = spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(labels)], "label_id long, text string, label int")
+    beside = [f"{calm()} {bad(w)} {calm()} {case} {common}" for w in WORDS[40:52]]
+    alone = [f"{calm()} {case} {calm()}" for _ in range(6)]
+    other = [f"{calm()} {calm()} {common if k % 2 else calm()}" for k in range(600)]
+    docs = spark.createDataFrame([(k, "a", t) for k, t in enumerate([*beside, *alone, *other])], "doc_id long, source string, text string")
+    got = {r["doc_id"] for r in abuse.abusive(docs, labelled).collect()}
+    assert got >= set(range(18)) and len(got) <= 20
+    plains = abuse.plain_texts(docs)
+    learnt, hard, share = abuse.corpus_cases(plains, abuse.fit_rows(labels, [abuse.plain(calm()) for _ in range(600)]))
+    assert learnt[0] == abuse.plain(case) and abuse.plain(common) not in learnt and abuse.plain(case) not in dict(hard) and 0 < share < 0.05
+
+
 def test_disguises_read_alike():
     assert abuse.plain("Id1ot") == abuse.plain("IDIOT") == abuse.plain("idi​ot") == "idiot"
     assert abuse.plain("b-a-s-t-a-r-d").strip() == "bastard" and abuse.plain("baaaastard") == "bastard"
