@@ -76,6 +76,49 @@ def test_near_duplicates_equal_brute_force(spark, options):
     assert got == brute_groups(texts)
 
 
+def phrased(rng, n, words=(60, 120, 200)):
+    """Pages of own words around two of three long notices and two of eight sentences that all pages draw from; every fourth has a changed copy."""
+    notices, sentences = [text(rng, 25) for _ in range(3)], [text(rng, 9) for _ in range(8)]
+    texts = {}
+    for k in range(n):
+        own = text(rng, rng.choice(words))
+        around = [*rng.sample(notices, 2), *rng.sample(sentences, 2)]
+        texts[f"{k:03d}a"] = " ".join([*around, own])
+        if k % 4 == 0:
+            texts[f"{k:03d}b"] = " ".join([*around, edited(rng, own, 6)])
+        if k % 50 == 0:
+            texts[f"{k:03d}c"] = " ".join([*notices, text(rng, 3)])  # hardly any words of its own
+    return texts
+
+
+@pytest.mark.parametrize("options", [{}, {"common": 40, "block": 12}])
+def test_near_duplicates_with_common_phrases_equal_brute_force(spark, options):
+    texts = phrased(random.Random(8), 240)
+    rows = [(i, "s", [P(t)], None) for i, t in texts.items()]
+    got = {r["id"]: r["class"] for r in neardup.near_duplicates(crawled(spark, rows), **options).collect()}
+    assert got == brute_groups(texts)
+
+
+def test_common_phrases_make_no_large_routes(spark):
+    texts = phrased(random.Random(9), 400, (160, 240))
+    docs = crawled(spark, [(i, "s", [P(t)], None) for i, t in texts.items()])
+    common = neardup.common_triples(docs, 60, 40)
+    made = []
+    for node, (_, u) in enumerate(neardup.page_sets(docs.toPandas().blocks.tolist(), 60)):
+        made.append((node, len(u), neardup.signature(u), neardup._page_routes(u, common, 0.35, neardup.ROUTES).view(np.int64).tolist()))
+    got = neardup.units(spark.createDataFrame(made, "node long, k int, bits binary, routes array<long>"), 40).groupBy("route", "bi", "bj").count().toPandas()["count"]
+    assert got.max() <= 40 and got.sum() < 35 * len(texts) and (got * (got - 1) / 2).sum() < 10 * len(texts)
+
+
+def test_routes_follow_the_share_of_common_triples():
+    n = [neardup.routes_for(share, 0.35, 24, 72) for share in (0, 0.2, 0.3, 0.4, 0.45, 0.6)]
+    assert n == [24, 25, 34, 60, 0, 0]
+    u = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 500).astype(np.uint64))
+    first, more = neardup.least_of_parts(u, 16, 16), neardup.least_of_parts(u, 40, 16)
+    assert len(first) == 16 and len(more) == 40 and (more[:16] == first).all()
+    assert (first == [u[u % 16 == p].min() for p in range(16)]).all()
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.found_pairs(neardup.near_duplicates(crawled(spark, []))).count() == 0
 
